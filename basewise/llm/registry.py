@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, media_ts, mixing, token_counts
+from . import decontaminate, html_extract, media_ts, mixing, pii, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op4_html_extract": html_extract.op4_html_extract,
+    "op5_pii": pii.op5_pii,
     "op6_media_ts": media_ts.op6_media_ts,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_mixing": mixing.op8_mixing,
