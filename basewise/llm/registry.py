@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, media_ts, mixing, pii, token_counts
+from . import decontaminate, html_extract, importance, language_id, media_ts, mixing, pii, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_importance": importance.op2_importance,
+    "op3_language_id": language_id.op3_language_id,
     "op4_html_extract": html_extract.op4_html_extract,
     "op5_pii": pii.op5_pii,
     "op6_media_ts": media_ts.op6_media_ts,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_mixing": mixing.op8_mixing,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {
