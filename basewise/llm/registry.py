@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, importance, language_id, media_ts, mixing, pii, token_counts, toxicity
+from . import decontaminate, html_extract, importance, language_id, media_ts, mixing, ngram_join, pii, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_mixing": mixing.op8_mixing,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 
 ORACLES: dict[str, str] = {
