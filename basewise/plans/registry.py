@@ -6,5 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import queries_norm
+
+MODULES = [queries_norm]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for _m in MODULES:
+    QUERIES |= _m.QUERIES
+    ORACLES |= _m.ORACLES
