@@ -32,7 +32,7 @@ def rc_thirds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reactivity_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three replicates (by return flag): sample, id, pos, base, value; null where coverage is below 3."""
     value = F.when(F.count(F.lit(1)) >= 2, F.avg("l_quantity") / 50)
-    return _cells(spark, sf_dir).groupBy("id", F.col("l_returnflag").alias("sample"), "pos", "base").agg(F.round(value, 6).alias("value"))
+    return _cells(spark, sf_dir).groupBy("id", F.col("l_returnflag").alias("sample"), "pos", "base").agg(F.round(value, 4).alias("value"))
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,8 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines 1 and 2 of an order as mates: pair_id, mate, id, start, end (7 positions each)."""
-    return _cells(spark, sf_dir).where("l_linenumber <= 2").select(F.col("l_orderkey").alias("pair_id"), F.col("l_linenumber").alias("mate"), (F.col("l_orderkey") % 50).alias("id"), F.col("pos").alias("start"), (F.col("pos") + 6).alias("end"), F.col("hit"))
+    lines = _cells(spark, sf_dir).where("l_linenumber <= 2").groupBy(F.col("l_orderkey").alias("pair_id"), F.col("l_linenumber").alias("mate"))
+    return lines.agg(F.min("pos").alias("start"), F.max("hit").alias("hit")).select("pair_id", "mate", (F.col("pair_id") % 50).alias("id"), "start", (F.col("start") + 6).alias("end"), "hit")
 
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,10 +70,11 @@ _CELLS = f"""cells as (select l_suppkey as id, {_POS} as pos, substr('ACGT', {_P
 SQL = {
     "rc": f"{_CELLS}, rc as (select id, l_linestatus as sample, pos, base, count(*) as coverage, cast(sum(hit) as bigint) as count from cells group by all)",
     "rc3": f"{_CELLS}, rc3 as (select id, substr('TUD', l_linenumber % 3 + 1, 1) as sample, pos, base, count(*) as coverage, cast(sum(hit) as bigint) as count from cells group by all)",
-    "react": f"{_CELLS}, react as (select id, l_returnflag as sample, pos, base, round(case when count(*) >= 2 then avg(l_quantity) / 50 end, 6) as value from cells group by all)",
+    "react": f"{_CELLS}, react as (select id, l_returnflag as sample, pos, base, round(case when count(*) >= 2 then avg(l_quantity) / 50 end, 4) as value from cells group by all)",
     "reads": f"""{_CELLS}, reads as (select l_orderkey as read_no, min(l_linestatus) as sample, min(id) as id, min(pos) as start, max(pos) as "end",
       coalesce(list_sort(list(distinct pos) filter (hit = 1)), []) as muts from cells group by 1)""",
-    "mates": f'{_CELLS}, mates as (select l_orderkey as pair_id, l_linenumber as mate, l_orderkey % 50 as id, pos as start, pos + 6 as "end", hit from cells where l_linenumber <= 2)',
+    "mates": f"""{_CELLS}, mates as (select l_orderkey as pair_id, l_linenumber as mate, l_orderkey % 50 as id, min(pos) as start, min(pos) + 6 as "end", max(hit) as hit
+      from cells where l_linenumber <= 2 group by l_orderkey, l_linenumber)""",
     "iv": """iv as (select user_id as id, event_id, cast(floor((epoch(ts) - epoch(timestamp '2024-01-01 00:00:00')) / 60) as bigint) as start,
       cast(floor((epoch(ts) - epoch(timestamp '2024-01-01 00:00:00')) / 60) + floor(value) as bigint) as "end", event_type, value from events)""",
     "seqs": "seqs as (select doc_id as id, regexp_replace(upper(text), '[^ACGT]', '', 'g') as sequence from documents)",
