@@ -7,6 +7,7 @@ from itertools import product
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: The IUPAC alphabets, complements, and what each ambiguity code stands for.
 ALPHABETS = {"dna": "ACGT", "rna": "ACGU", "na": "ACGTU", "iupac": "ACGTURYSWKMBDHVN", "aa": "ACDEFGHIKLMNPQRSTVWY"}
@@ -151,7 +152,7 @@ def dinucleotide_shuffle(s: str, seed: int) -> str:
     return "".join(out)
 
 
-@F.udf("string", useArrow=True)
+@F.udf(StringType(), useArrow=True)
 def _dishuffle(s: str, seed: int) -> str | None:
     return None if s is None else dinucleotide_shuffle(s, seed)
 

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 #: The smallest probability that the combinations of p-values take a logarithm of.
@@ -24,11 +25,11 @@ _inverse = np.frompyfunc(NormalDist().inv_cdf, 1, 1)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
-    return _lgamma(np.asarray(x, float)).astype(float)
+    return np.asarray(_lgamma(np.asarray(x, float)), float)
 
 
 def pnorm(x: np.ndarray) -> np.ndarray:
-    return 0.5 * _erfc(-np.asarray(x, float) / math.sqrt(2)).astype(float)
+    return 0.5 * np.asarray(_erfc(-np.asarray(x, float) / math.sqrt(2)), float)
 
 
 def dnorm(x: np.ndarray, mean: float = 0, sd: float = 1) -> np.ndarray:
@@ -39,7 +40,7 @@ def dnorm(x: np.ndarray, mean: float = 0, sd: float = 1) -> np.ndarray:
 def qnorm(p: np.ndarray) -> np.ndarray:
     p = np.asarray(p, float)
     inside = np.clip(p, TINY, 1 - 2**-53)
-    return np.where(p <= 0, -np.inf, np.where(p >= 1, np.inf, _inverse(inside).astype(float)))
+    return np.where(p <= 0, -np.inf, np.where(p >= 1, np.inf, np.asarray(_inverse(inside), float)))
 
 
 def beta_inc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -147,7 +148,7 @@ def student_p(t: np.ndarray, df: np.ndarray) -> np.ndarray:
 def _column(f: Callable[..., np.ndarray], vectorised: bool = True) -> Callable[..., Column]:
     """f as a function of columns, by Arrow batches; rows with a missing argument give null."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in batches:
             known = ~np.logical_or.reduce([c.isna().to_numpy() for c in columns])
