@@ -1,9 +1,10 @@
 """Exact n-gram Jaccard join with signature trees.
 
 1. Texts become sets of hashed word n-grams; texts of the same set are one class.
-2. Two sets with Jaccard similarity of at least t share one of the first ``n - ceil(t n) + 1`` grams of each in any
-   fixed order of all grams. The order puts frequent grams last, so that passages that many texts share seldom count.
-   Grams that stand among the first of one class only are dropped; classes that share such a gram make a family.
+2. In any fixed order of all grams, two sets with Jaccard similarity of at least t share k of the first
+   ``n - ceil(t n) + k`` grams of each (k by the smaller set's size; see prefix()). The order puts frequent grams last, so
+   that passages that many texts share seldom count. Grams that stand among the first of one class only are dropped,
+   then classes with fewer than k grams left, in turns; classes that share such a gram make a family.
 3. A family is searched by a signature tree. Its leaves are sets; a node holds the OR of the bitmaps of its sets, the
    range of their sizes, and how many grams a bitmap may hide. A traversal of the tree against itself (or another tree)
    prunes pairs of nodes whose largest possible overlap is too small, and those that are linked already; leaves are
@@ -31,8 +32,11 @@ GRAM, NUMERATOR, DENOMINATOR = 5, 80, 100
 CHUNK, BITS, FAN = 512, 4096, 8
 #: Bits of a node of the upper tree; classes whose keys are broadcast, at most.
 UPPER_BITS, BROADCAST = 1 << 16, 500_000
-#: A gram is frequent if so many of SAMPLE neighbouring texts hold it; so many frequent grams are kept at most.
-LOCAL, SAMPLE, FREQUENT = 3, 2000, 400_000
+#: A gram is frequent if so many of SAMPLE neighbouring texts hold it; so many frequent grams are kept at most. A gram of
+#: d in N texts meets itself in some sample from about d = sqrt(2 N / SAMPLE) on, and rarer ones need no rank.
+LOCAL, SAMPLE, FREQUENT = 2, 8000, 400_000
+#: k by size (a share of it), and turns of dropping grams and classes.
+EXTRA, TURNS = 0.1, 3
 
 
 def need(sizes: np.ndarray | int) -> np.ndarray | int:
@@ -40,6 +44,21 @@ def need(sizes: np.ndarray | int) -> np.ndarray | int:
     return -(-NUMERATOR * sizes // DENOMINATOR)
 
 
+def extra(sizes: int) -> int:
+    """k for a set of this size."""
+    return max(1, int(EXTRA * sizes))
+
+
+def prefix(size: int) -> tuple[int, int]:
+    """How many first grams of a set count, and how many of them any similar set must share.
+
+    Of two similar sets let A be the one whose last counted gram comes first in the order. They share ceil(t |A|) grams
+    or more, of which at most |A| less the counted ones, ceil(t |A|) - k(A), don't count in A; so k(A) or more do, and as
+    they come no later than the last counted gram of the other set, they count there too. The sizes of the two differ
+    by the factor t at most."""
+    return size - int(need(size)) + extra(size), extra(int(need(size)))
+
+
 def gram_sets(data: np.ndarray, offsets: np.ndarray, k: int = GRAM) -> list[np.ndarray]:
     """The sorted distinct grams of each text; a text of fewer words is one gram, one without words none."""
     words, row, _, _ = word_hashes(data, offsets, BLANK_WORDS)
@@ -246,7 +265,7 @@ def _frequent(docs: DataFrame, text: str) -> DataFrame:
         yield out()
 
     small_batches(docs.sparkSession)
-    counts = cut(docs.select(text).mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > LOCAL))
+    counts = cut(docs.select(text).mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LOCAL))
     # The count from which on no more than FREQUENT are left.
     total, least = 0, None
     for r in sorted(counts.groupBy(F.floor(F.log2("n") * 4).alias("k")).agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n")).collect(), key=lambda r: -r["k"]):
@@ -258,7 +277,9 @@ def _frequent(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, text: str, frequent: DataFrame) -> DataFrame:
-    """(gram, cls, often) for the first grams of every set in the order (count if frequent, gram); cls: half of the fingerprint."""
+    """(gram, cls, often, least) for the first grams of every set in the order (count if frequent, gram).
+
+    cls: half of the fingerprint; least: grams that a similar set must share."""
     got = frequent.orderBy("gram").toArrow()
     held = docs.sparkSession.sparkContext.broadcast((got["gram"].to_numpy().astype(np.uint64), got["n"].to_numpy()))
 
@@ -267,41 +288,44 @@ def _prefixes(docs: DataFrame, text: str, frequent: DataFrame) -> DataFrame:
         order = np.argsort(known)
         known, counts = known[order], counts[order]
         data, offsets = utf8_view(batch.column(0))
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, ...]] = []
+        seen: set[int] = set()
         for a, b in pieces(offsets):
             sets = gram_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            prints = fingerprints(sets)[0]
-            seen: set[int] = set()
-            for s, p in zip(sets, prints, strict=True):
+            for s, p in zip(sets, fingerprints(sets)[0].tolist(), strict=True):
                 n = len(s)
-                if not n or int(p) in seen:
+                if not n or p in seen:
                     continue
-                seen.add(int(p))
+                seen.add(p)
                 often = np.zeros(n, np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     often = np.where(known[at] == s, counts[at], 0)
-                first = n - int(need(n)) + 1
+                first, least = prefix(n)
                 chosen = np.argsort(often, kind="stable")[:first]
-                out.append((s[chosen], np.full(first, p), often[chosen]))
+                out.append((s[chosen].astype(np.int64), np.full(len(chosen), p), often[chosen] > 0, np.full(len(chosen), least, np.int32)))
         if not out:
             return None
-        grams, cls, often = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int64)), pa.array(cls), pa.array(often)], names=["gram", "cls", "often"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["gram", "cls", "often", "least"])
 
-    return map_batches(docs.select(text), run, "gram bigint, cls bigint, often bigint")
+    return map_batches(docs.select(text), run, "gram bigint, cls bigint, often boolean, least int")
 
 
 def _families(prefixes: DataFrame) -> DataFrame:
-    """(node, component) of the classes that share first grams, by stars around the smallest class of each gram."""
-    rare = prefixes.where("often = 0").select("gram", "cls")
-    by = Window.partitionBy("gram")
-    few = rare.select("cls", F.min("cls").over(by).alias("hub")).where("cls != hub").distinct()
-    # Frequent grams (a bounded number): their smallest classes first, so that no gram's rows meet in one task.
-    often = cut(prefixes.where("often > 0").select("gram", "cls").distinct())
-    hubs = F.broadcast(often.groupBy("gram").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).where("hub != last").drop("last"))
-    many = often.join(hubs, "gram").where("cls != hub").select("cls", "hub").distinct()
-    return components(few.unionByName(many), "cls", "hub")
+    """(node, component) of the classes that share enough first grams, by stars around the smallest class of each gram."""
+    # Frequent grams are held by several classes, as their counts tell; their rows need not meet here, and are spread.
+    spread = F.when(F.col("often"), F.pmod(F.xxhash64("cls"), F.lit(1 << 20))).otherwise(F.lit(0))
+    w = Window.partitionBy("gram", "spread")
+    met = prefixes.withColumn("spread", spread).withColumns({"low": F.min("cls").over(w), "high": F.max("cls").over(w)})
+    rows = cut(met.where("often or low != high").select("gram", "cls", "least").distinct())
+    for _ in range(TURNS):
+        enough = rows.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least")).where("n >= least").select("cls")
+        kept = rows.join(enough, "cls", "left_semi")
+        several = kept.groupBy("gram").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).where("hub != last").select("gram", "hub")
+        rows = cut(kept.join(several, "gram"))
+        stars = rows.where("cls != hub").select("cls", "hub").distinct()
+        rows = rows.drop("hub")
+    return components(stars, "cls", "hub")
 
 
 LINK = "fam bigint, a bigint, b bigint"
