@@ -159,6 +159,8 @@ def count_patterns(docs: DataFrame, text: str, patterns: DataFrame) -> DataFrame
     out = spark.createDataFrame([], "pattern bigint, total bigint")
     for block in range(n):
         known = np.sort(np.array([r[0] for r in patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(n)) == block).collect()], np.int64))
+        if not len(known):
+            continue
         held = spark.sparkContext.broadcast(known)
 
         def run(batch: pa.RecordBatch, held=held) -> pa.RecordBatch:
