@@ -151,6 +151,7 @@ def _column(f: Callable[..., np.ndarray], vectorised: bool = True) -> Callable[.
     @F.pandas_udf(DoubleType())
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in batches:
+            columns = (columns,) if isinstance(columns, pd.Series) else columns
             known = ~np.logical_or.reduce([c.isna().to_numpy() for c in columns])
             args = [c.to_numpy(float, na_value=0)[known] for c in columns]
             out = np.full(len(known), np.nan)
