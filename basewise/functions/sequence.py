@@ -95,7 +95,7 @@ def hamming(a: Column, b: Column) -> Column:
 
 def longest_orf(x: Column, starts: tuple[str, ...] = ("ATG",), any_start: bool = False, least: int = 0) -> Column:
     """The longest open reading frame (start to stop codon, both included), the first of equals; null below least bases."""
-    start = "[ACGT]{3}" if any_start else "|".join(starts)
+    start = "(?!TAA|TAG|TGA)[ACGT]{3}" if any_start else "|".join(starts)
     found = F.regexp_extract_all(x, F.lit(rf"(?=((?:{start})(?:(?!TAA|TAG|TGA)[ACGT]{{3}})*+(?:TAA|TAG|TGA)))"), F.lit(1))
     best = F.reduce(found, F.lit(""), lambda a, b: F.when(F.length(b) > F.length(a), b).otherwise(a))
     return F.when(F.length(best) >= max(least, 1), best)

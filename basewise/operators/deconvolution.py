@@ -141,22 +141,23 @@ def merged_windows(df: DataFrame, least_overlap: float = 0.75, least_correlation
 
 def trimmed(df: DataFrame, n: int) -> DataFrame:
     """Windows without their first and last n positions."""
-    inner = F.col("end") - F.col("start") + 1 - 2 * n
+    # Lengths stand in a column of their own: within a lambda, names of one select may mean its new columns.
+    df = df.withColumn("__n", (F.col("end") - F.col("start") + 1 - 2 * n).cast("int")).where("__n > 0")
 
     def cut(c: str):
-        return F.transform(c, lambda x: F.slice(x, F.lit(n + 1), inner.cast("int")))
+        return F.transform(c, lambda x: F.slice(x, F.lit(n + 1), F.greatest(F.col("__n"), F.lit(0))))
 
-    return df.where(inner > 0).withColumns({"counts": cut("counts"), "coverage": cut("coverage"), "start": F.col("start") + n, "end": F.col("end") - n})
+    return df.withColumns({"counts": cut("counts"), "coverage": cut("coverage"), "start": F.col("start") + n, "end": F.col("end") - n}).drop("__n")
 
 
 def extended(df: DataFrame, n: int) -> DataFrame:
     """Windows widened by n positions of zeros to each side, as far as position 0 on the left."""
-    left = F.least(F.lit(n).cast("bigint"), F.col("start"))
+    df = df.withColumn("__left", F.least(F.lit(n).cast("bigint"), F.col("start")).cast("int"))
 
     def pad(c: str):
-        return F.transform(c, lambda x: F.concat(F.array_repeat(F.lit(0).cast("bigint"), left.cast("int")), x, F.array_repeat(F.lit(0).cast("bigint"), n)))
+        return F.transform(c, lambda x: F.concat(F.array_repeat(F.lit(0).cast("bigint"), F.col("__left")), x, F.array_repeat(F.lit(0).cast("bigint"), n)))
 
-    return df.withColumns({"counts": pad("counts"), "coverage": pad("coverage"), "start": F.col("start") - left, "end": F.col("end") + n})
+    return df.withColumns({"counts": pad("counts"), "coverage": pad("coverage"), "start": F.col("start") - F.col("__left"), "end": F.col("end") + n}).drop("__left")
 
 
 def mean_stoichiometry(df: DataFrame) -> DataFrame:

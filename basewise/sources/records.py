@@ -2,7 +2,8 @@
 
 All numbers are little-endian; a sequence is packed with two bases in a byte (A C G T N as 0 to 4, the first base in the
 high half, an odd length padded with 0). The formats are read and written as Spark data sources, with one partition for
-each run of records and ids pushed down to the record headers, or used as plain functions on bytes.
+each run of records (option recordsPerPartition) and, with the option ids, of some records only; or used as plain
+functions on bytes.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 #: How files end, the version they state, and the number that stands for a missing value in NRC files.
 RC_END, MM_END, NRC_END, VERSION, MISSING = b"[eofrc]", b"[mmeof]", b"[eofnrc]", 1, -999.0
@@ -212,17 +213,11 @@ class _Run(InputPartition):
 
 class _RecordReader(DataSourceReader):
     def __init__(self, kind: str, options: dict):
-        self.kind, self.path, self.ids = kind, _local(options["path"]), None
+        self.kind, self.path = kind, _local(options["path"])
+        # An option, not a filter pushed down: Spark keeps what one query pushed for others on the same frame.
+        self.ids = set(options["ids"].split(",")) if options.get("ids") else None
         self.size = int(options.get("recordsPerPartition", 500))
 
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, (EqualTo, In)) and f.attribute == ("id",):
-                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.ids = values if self.ids is None else self.ids & values
-            else:
-                yield f
-
     def partitions(self):
         places = [at for name, at, _ in index(self.kind, self.path) if self.ids is None or name in self.ids]
         if self.ids is not None:
@@ -314,7 +309,6 @@ def _source(kind: str) -> type[DataSource]:
 
 def register(spark: SparkSession) -> None:
     """Makes the formats basewise_rc, basewise_mm and basewise_nrc known."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for kind in SCHEMAS:
         spark.dataSource.register(_source(kind))
 

@@ -27,7 +27,7 @@ def vienna_records(df: DataFrame) -> DataFrame:
 def ct_records(df: DataFrame) -> DataFrame:
     """Rows of id, sequence, energy and pairs (from 0) as connectivity tables."""
     n = F.length("sequence")
-    partner = F.map_from_entries(F.concat(F.transform("pairs", lambda p: F.struct(p["i"], p["j"])), F.transform("pairs", lambda p: F.struct(p["j"], p["i"]))))
+    partner = F.map_from_entries(F.concat(F.transform("pairs", lambda p: F.struct(p["i"].alias("a"), p["j"].alias("b"))), F.transform("pairs", lambda p: F.struct(p["j"].alias("a"), p["i"].alias("b")))))
     got = df.withColumn("__p", partner).withColumn("__n", n)
     rows = F.transform(F.sequence(F.lit(1), F.col("__n")), lambda i: F.format_string("%d %s %d %d %d %d", i, F.substring("sequence", i, F.lit(1)), i - 1, F.when(i == F.col("__n"), 0).otherwise(i + 1), F.coalesce(F.col("__p")[i - 1] + 1, F.lit(0)), i))
     head = F.concat(F.col("__n").cast("string"), F.when(F.col("energy").isNotNull(), F.format_string(" ENERGY = %.2f", "energy")).otherwise(""), F.lit(" "), F.col("id"))

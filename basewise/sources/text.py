@@ -33,7 +33,7 @@ def repeated(df: DataFrame, key: str = "id") -> DataFrame:
 def vienna(spark: SparkSession, path: str) -> DataFrame:
     """id, sequence, structure and energy; records of unequal lengths or unbalanced brackets are left out."""
     text = spark.read.text(path, lineSep="\n>").select(F.split(F.regexp_replace("value", "^>", ""), "\n").alias("l")).where(F.size("l") >= 3)
-    got = text.select(F.regexp_extract(F.col("l")[0], r"^(\S+)", 1).alias("id"), F.upper(F.trim(F.col("l")[1])).alias("sequence"), F.regexp_extract(F.col("l")[2], r"^(\S+)", 1).alias("structure"), F.regexp_extract(F.col("l")[2], r"\s\(\s*(-?[\d.]+)\s*\)", 1).try_cast("double").alias("energy"))
+    got = text.select(F.regexp_extract(F.get("l", F.lit(0)), r"^(\S+)", 1).alias("id"), F.upper(F.trim(F.get("l", F.lit(1)))).alias("sequence"), F.regexp_extract(F.get("l", F.lit(2)), r"^(\S+)", 1).alias("structure"), F.regexp_extract(F.get("l", F.lit(2)), r"\s\(\s*(-?[\d.]+)\s*\)", 1).try_cast("double").alias("energy"))
     return got.where((F.length("sequence") == F.length("structure")) & is_balanced(F.col("structure")))
 
 
@@ -78,9 +78,9 @@ def sniff(lines: list[str], path: str = "") -> str:
 
 def sam(spark: SparkSession, path: str) -> DataFrame:
     """Alignment rows with a CIGAR string; pos from 0, tags as a map, qualities as numbers."""
-    lines = spark.read.text(path).where(~F.col("value").startswith("@")).select(F.split("value", "\t").alias("f")).where((F.size("f") >= 11) & (F.col("f")[5] != "*"))
+    lines = spark.read.text(path).where(~F.col("value").startswith("@")).select(F.split("value", "\t").alias("f")).where((F.size("f") >= 11) & (F.get("f", F.lit(5)) != "*"))
     names = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual"]
-    got = lines.select(*(F.col("f")[i].alias(n) for i, n in enumerate(names)), F.slice("f", F.lit(12), F.greatest(F.size("f") - 11, F.lit(0))).alias("t"))
+    got = lines.select(*(F.get("f", F.lit(i)).alias(n) for i, n in enumerate(names)), F.slice("f", F.lit(12), F.greatest(F.size("f") - 11, F.lit(0))).alias("t"))
     tags = F.map_from_entries(F.transform("t", lambda x: F.struct(F.substring(x, 1, 2), F.regexp_replace(x, r"^[^:]*:[^:]*:", ""))))
     got = got.withColumns({c: F.col(c).cast("int") for c in ("flag", "mapq", "tlen")} | {c: F.col(c).cast("bigint") - 1 for c in ("pos", "pnext")})
     phred = F.transform(F.split("qual", ""), lambda c: F.ascii(c) - 33)
@@ -158,8 +158,8 @@ def bed(spark: SparkSession, path: str) -> DataFrame:
 
 def gtf(spark: SparkSession, path: str, feature: str = "exon", attribute: str = "transcript_id") -> DataFrame:
     f = F.split("value", "\t")
-    rows = spark.read.text(path).where(~F.col("value").startswith("#")).select(f.alias("f")).where((F.size("f") >= 9) & (F.col("f")[2] == feature))
-    return rows.select(F.regexp_extract(F.col("f")[8], rf'{attribute} "([^"]+)"', 1).alias("name"), F.col("f")[0].alias("id"), (F.col("f")[3].cast("bigint") - 1).alias("start"), (F.col("f")[4].cast("bigint") - 1).alias("end"), F.col("f")[6].alias("strand")).where("name != ''")
+    rows = spark.read.text(path).where(~F.col("value").startswith("#")).select(f.alias("f")).where((F.size("f") >= 9) & (F.get("f", F.lit(2)) == feature))
+    return rows.select(F.regexp_extract(F.get("f", F.lit(8)), rf'{attribute} "([^"]+)"', 1).alias("name"), F.get("f", F.lit(0)).alias("id"), (F.get("f", F.lit(3)).cast("bigint") - 1).alias("start"), (F.get("f", F.lit(4)).cast("bigint") - 1).alias("end"), F.get("f", F.lit(6)).alias("strand")).where("name != ''")
 
 
 def centres(peaks: DataFrame) -> DataFrame:
@@ -169,16 +169,16 @@ def centres(peaks: DataFrame) -> DataFrame:
 def junctions(spark: SparkSession, path: str, least_half: int = 20, least_gap: int = 1) -> DataFrame:
     """Chimeric junctions of one transcript, both halves forward, as closed halves in order; without repeats."""
     f = F.split("value", "\t")
-    rows = spark.read.text(path).select(f.alias("f")).where((F.size("f") >= 14) & (F.col("f")[0] == F.col("f")[3]) & (F.col("f")[2] == "+") & (F.col("f")[5] == "+"))
+    rows = spark.read.text(path).select(f.alias("f")).where((F.size("f") >= 14) & (F.get("f", F.lit(0)) == F.get("f", F.lit(3))) & (F.get("f", F.lit(2)) == "+") & (F.get("f", F.lit(5)) == "+"))
 
     def span(i: int) -> Column:
-        ops = F.regexp_extract_all(F.col("f")[i], F.lit(r"(\d+)[MD=X]"), F.lit(1))
+        ops = F.regexp_extract_all(F.get("f", F.lit(i)), F.lit(r"(\d+)[MD=X]"), F.lit(1))
         return F.aggregate(ops, F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint"))
 
-    a, b = F.col("f")[10].cast("bigint") - 1, F.col("f")[12].cast("bigint") - 1
+    a, b = F.get("f", F.lit(10)).cast("bigint") - 1, F.get("f", F.lit(12)).cast("bigint") - 1
     halves = F.array_sort(F.array(F.struct(a.alias("s"), (a + span(11) - 1).alias("e")), F.struct(b.alias("s"), (b + span(13) - 1).alias("e"))))
-    got = rows.where(~F.col("f")[11].contains("N") & ~F.col("f")[13].contains("N")).select(F.col("f")[0].alias("id"), halves.alias("h"))
-    got = got.select("id", F.col("h")[0]["s"].alias("start1"), F.col("h")[0]["e"].alias("end1"), F.col("h")[1]["s"].alias("start2"), F.col("h")[1]["e"].alias("end2"))
+    got = rows.where(~F.get("f", F.lit(11)).contains("N") & ~F.get("f", F.lit(13)).contains("N")).select(F.get("f", F.lit(0)).alias("id"), halves.alias("h"))
+    got = got.select("id", F.get("h", F.lit(0))["s"].alias("start1"), F.get("h", F.lit(0))["e"].alias("end1"), F.get("h", F.lit(1))["s"].alias("start2"), F.get("h", F.lit(1))["e"].alias("end2"))
     long = (F.col("end1") - F.col("start1") + 1 >= least_half) & (F.col("end2") - F.col("start2") + 1 >= least_half)
     return got.where(long & (F.col("start2") - F.col("end1") - 1 >= least_gap)).dropDuplicates()
 
@@ -188,7 +188,7 @@ def gapped(alignments: DataFrame, least_half: int = 20, least_gap: int = 1) -> D
     from ..operators.pileup import REVERSE, blocks
 
     b = alignments.where(F.col("flag").bitwiseAND(F.lit(REVERSE)) == 0).withColumn("b", blocks(F.col("pos"), F.col("cigar"))).where((F.size("b") == 2) & (F.regexp_count("cigar", F.lit("N")) == 1))
-    got = b.select(F.col("rname").alias("id"), F.col("b")[0]["start"].alias("start1"), F.col("b")[0]["end"].alias("end1"), F.col("b")[1]["start"].alias("start2"), F.col("b")[1]["end"].alias("end2"))
+    got = b.select(F.col("rname").alias("id"), F.get("b", F.lit(0))["start"].alias("start1"), F.get("b", F.lit(0))["end"].alias("end1"), F.get("b", F.lit(1))["start"].alias("start2"), F.get("b", F.lit(1))["end"].alias("end2"))
     long = (F.col("end1") - F.col("start1") + 1 >= least_half) & (F.col("end2") - F.col("start2") + 1 >= least_half)
     return got.where(long & (F.col("start2") - F.col("end1") - 1 >= least_gap)).dropDuplicates()
 

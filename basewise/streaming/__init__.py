@@ -1 +1 @@
-"""Part of basewise."""
+"""Structured Streaming forms of counting and mate pairing."""
