@@ -23,29 +23,33 @@ def late_counts(cells: DataFrame, time: str, delay: str, window: str) -> DataFra
 FRAGMENT = "pair_id long, id long, start long, end long, mates int"
 
 
-def paired(mates: DataFrame, wait_ms: int = 60_000) -> DataFrame:
-    """Fragments of a stream of mates (pair_id, id, start, end): a pair as soon as both are there, a lone mate after wait_ms.
+def paired(mates: DataFrame, time: str = "ts", wait: str = "1 minute", wait_ms: int = 60_000) -> DataFrame:
+    """Fragments of a stream of mates (pair_id, id, start, end and an event time): a pair as soon as both are there, a lone mate once the watermark has passed its time by wait_ms.
 
     The state of a pair is one mate, and goes with the fragment."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        names = ["pair_id", "id", "start", "end", "mates"]
         if state.hasTimedOut:
             low, high = state.get
             state.remove()
-            yield pd.DataFrame([(*key, low, high, 1)], columns=["pair_id", "id", "start", "end", "mates"])
+            yield pd.DataFrame([(*key, low, high, 1)], columns=names)
             return
-        rows = [r for f in frames for r in zip(f["start"], f["end"], strict=True)]
+        rows, last = [], 0
+        for f in frames:
+            rows += zip(f["start"].tolist(), f["end"].tolist(), strict=True)
+            last = max(last, *(int(x.timestamp() * 1000) for x in f[time]))
         if state.exists:
             rows.insert(0, state.get)
             state.remove()
         while len(rows) >= 2:
             a, b = rows.pop(0), rows.pop(0)
-            yield pd.DataFrame([(*key, min(a[0], b[0]), max(a[1], b[1]), 2)], columns=["pair_id", "id", "start", "end", "mates"])
+            yield pd.DataFrame([(*key, min(a[0], b[0]), max(a[1], b[1]), 2)], columns=names)
         if rows:
-            state.update((int(rows[0][0]), int(rows[0][1])))
-            state.setTimeoutDuration(wait_ms)
+            state.update(rows[0])
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + wait_ms)
 
-    return mates.groupBy("pair_id", "id").applyInPandasWithState(step, FRAGMENT, "start long, end long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return mates.withWatermark(time, wait).groupBy("pair_id", "id").applyInPandasWithState(step, FRAGMENT, "start long, end long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def add_to_table(stream: DataFrame, path: str, checkpoint: str):
