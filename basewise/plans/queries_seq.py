@@ -258,14 +258,14 @@ def _pair_tables(spark, sf_dir):
 
 @query("a31_pair_metrics", f"""with {_BP}, c as (select id, count(*) as c from ra join rb using (id, i, j) group by id), a as (select id, count(*) as nr from ra group by id), b as (select id, count(*) as np from rb group by id),
 u as (select id, count(*) as bases from (select id, i as x from ra union select id, j from ra union select id, i from rb union select id, j from rb) group by id)
-select id, round(coalesce(c, 0) / np, 6) as ppv, round(coalesce(c, 0) / nr, 6) as sensitivity, round(coalesce(c, 0) / sqrt(nr * np), 6) as fmi, round((200 - bases) / 200 + (1 - (200 - bases) / 200) * coalesce(c, 0) / sqrt(nr * np), 6) as mfmi from a join b using (id) join u using (id) left join c using (id)""")
+select id, round(coalesce(c / np, 0), 6) as ppv, round(coalesce(c / nr, 0), 6) as sensitivity, round(coalesce(c / sqrt(nr * np), 0), 6) as fmi, round((200 - bases) / 200 + (1 - (200 - bases) / 200) * coalesce(c / sqrt(nr * np), 0), 6) as mfmi from a join u using (id) left join b using (id) left join c using (id)""")
 def a31(spark, sf_dir):
     a, b = _pair_tables(spark, sf_dir)
     lengths = a.select("id").distinct().withColumn("length", F.lit(200))
     return R.pair_metrics(a, b, lengths).select("id", _r("ppv"), _r("sensitivity"), _r("fmi"), _r("mfmi"))
 
 
-@query("a32_median_metrics", f"""with {_BP}, c as (select id, count(*) as c from ra join rb using (id, i, j) group by id), a as (select id, count(*) as nr from ra group by id), b as (select id, count(*) as np from rb group by id) select round(median(coalesce(c, 0) / np), 6) as ppv, round(median(coalesce(c, 0) / nr), 6) as sensitivity from a join b using (id) left join c using (id)""")
+@query("a32_median_metrics", f"""with {_BP}, c as (select id, count(*) as c from ra join rb using (id, i, j) group by id), a as (select id, count(*) as nr from ra group by id), b as (select id, count(*) as np from rb group by id) select round(median(coalesce(c / np, 0)), 6) as ppv, round(median(coalesce(c / nr, 0)), 6) as sensitivity from a left join b using (id) left join c using (id)""")
 def a32(spark, sf_dir):
     a, b = _pair_tables(spark, sf_dir)
     got = R.pair_metrics(a, b, a.select("id").distinct().withColumn("length", F.lit(200)))
