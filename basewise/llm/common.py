@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,7 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows that one Arrow batch may hold, so that a batch of long texts stays small.
 BATCH_ROWS = 1000
 #: Bytes of text that the array code handles at a time; one longer text makes a piece of its own.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
+
+
+def release() -> None:
+    """Gives memory that a finished task has freed back to the system: workers live on, and others need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -52,6 +62,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
         for batch in batches:
             if batch.num_rows and (out := fn(batch)) is not None and out.num_rows:
                 yield out
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, pieces, small_batches, table, utf8_view
+from .common import map_batches, pieces, release, small_batches, table, utf8_view
 
 BUCKETS, SEGMENT, STEPS, PENALTY, SMOOTH = 1 << 16, 32, 8, 3.0, 0.5
 #: Trigrams of a segment overlap; its likelihood counts as if a third of them did.
@@ -59,6 +59,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
                 counts = np.bincount(row * (BUCKETS + 1) + grams[: len(row)], minlength=len(which) * (BUCKETS + 1)).reshape(len(which), -1)
                 for n, c in zip(which, counts, strict=True):
                     totals[n] = totals.get(n, 0) + c
+        release()
         for n, c in totals.items():
             at = np.flatnonzero(c[:BUCKETS])
             yield pa.RecordBatch.from_arrays([pa.array([n] * len(at), pa.string()), pa.array(at), pa.array(c[at])], names=["lang", "bucket", "n"])

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BLANK_WORDS, cut, gram_hashes, map_batches, mix, pieces, small_batches, table, utf8_view, word_hashes
+from .common import BLANK_WORDS, cut, gram_hashes, map_batches, mix, pieces, release, small_batches, table, utf8_view, word_hashes
 
 GRAM, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: Sets in one search, bits of a leaf's bitmap, sets or nodes below a node.
@@ -246,11 +246,16 @@ def _frequent(docs: DataFrame, text: str) -> DataFrame:
         prints: set[int] = set()
 
         def out() -> pa.RecordBatch:
-            grams, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
+            grams = np.concatenate(held) if held else np.zeros(0, np.uint64)
             held.clear()
             prints.clear()
+            grams.sort()
+            # Only runs of equal grams: where one begins, and where it ends.
+            same = np.concatenate(([False], grams[1:] == grams[:-1], [False]))
+            edges = np.flatnonzero(same[1:] != same[:-1])
+            first, n = edges[::2], edges[1::2] - edges[::2] + 1
             some = n >= LOCAL
-            return pa.RecordBatch.from_arrays([pa.array(grams[some].astype(np.int64)), pa.array(n[some])], names=["gram", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(grams[first[some]].astype(np.int64)), pa.array(n[some])], names=["gram", "n"])
 
         for batch in batches:
             data, offsets = utf8_view(batch.column(0))
@@ -263,6 +268,7 @@ def _frequent(docs: DataFrame, text: str) -> DataFrame:
                 if len(held) >= SAMPLE or sum(map(len, held)) > 4_000_000:
                     yield out()
         yield out()
+        release()
 
     small_batches(docs.sparkSession)
     counts = cut(docs.select(text).mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LOCAL))
@@ -280,13 +286,13 @@ def _prefixes(docs: DataFrame, text: str, frequent: DataFrame) -> DataFrame:
     """(gram, cls, often, least) for the first grams of every set in the order (count if frequent, gram).
 
     cls: half of the fingerprint; least: grams that a similar set must share."""
-    got = frequent.orderBy("gram").toArrow()
-    held = docs.sparkSession.sparkContext.broadcast((got["gram"].to_numpy().astype(np.uint64), got["n"].to_numpy()))
+    got = frequent.toArrow()
+    grams = got["gram"].to_numpy().astype(np.uint64)
+    order = np.argsort(grams)
+    held = docs.sparkSession.sparkContext.broadcast((grams[order], got["n"].to_numpy()[order]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         known, counts = held.value
-        order = np.argsort(known)
-        known, counts = known[order], counts[order]
         data, offsets = utf8_view(batch.column(0))
         out: list[tuple[np.ndarray, ...]] = []
         seen: set[int] = set()
