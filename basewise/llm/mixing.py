@@ -159,7 +159,8 @@ def _taken(sized: DataFrame, info: DataFrame, slots: list[int], blocks: list[int
     taken = map_batches(map_batches(runs, shards, "run bigint, shard bigint, n bigint, first bigint, count bigint"), mapped, "n bigint, block bigint, words bigint")
     whole = F.col("words") == block
     times = taken.groupBy("n", "block").agg(F.sum(whole.cast("bigint")).alias("times"), F.max(F.when(~whole, F.col("words"))).alias("part"))
-    joined = spans.join(times.withColumn("n", F.col("n").cast("int")), ["n", "block"], "left")
+    # The plan can't tell how many slots the few runs become, and would broadcast them.
+    joined = spans.join(times.withColumn("n", F.col("n").cast("int")).hint("merge"), ["n", "block"], "left")
     part = F.when(F.col("part").isNotNull(), F.greatest(F.least("high", "part") - F.col("low"), F.lit(0))).otherwise(0)
     share = F.coalesce("times", F.lit(0)) * (F.col("high") - F.col("low")) + part
     return joined.groupBy("n", "g", "row").agg(*(F.first(c).alias(c) for c in ("key", "source", "size", "source_size", "target")), F.coalesce(F.sum(share), F.lit(0)).cast("bigint").alias("taken"))
