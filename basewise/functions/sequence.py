@@ -52,7 +52,10 @@ def genetic_code(table: int = 1) -> dict[str, str]:
 
 
 def windows(x: Column, k: int, step: int = 1) -> Column:
-    """All substrings of k characters, every step of them."""
+    """All substrings of k characters, every step of them; overlapping or adjacent ones in one pass over the text."""
+    if step in (1, k):
+        pattern = f"(?s)(?=(.{{{k}}}))" if step == 1 else f"(?s)(.{{{k}}})"
+        return F.regexp_extract_all(x, F.lit(pattern), F.lit(1))
     n = F.length(x) - k
     return F.when(n >= 0, F.transform(F.sequence(F.lit(0), n, F.lit(step)), lambda i: F.substring(x, i + 1, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 
