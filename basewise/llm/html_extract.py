@@ -1,10 +1,10 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-Markup is stripped to lines (one for each block of the page, in page order). A line that stands in a menu, header,
-footer, sidebar, notice, advert, form, comment list or the like, or that is mostly links, keeps its place with length
-0. Text lengths are summed over windows of WINDOW lines: a surge is where a window's sum rises from 0, a dive where it
-falls to 0 again; the text between the two is a region. Regions inside <article> or <main> are the main text; where a
-page has neither, it is the region with the most text, with those that hold at least SHARE of it.
+Markup is stripped to lines (one for each block of the page, in page order). Tag rules give some lines length 0, in
+their place: those in a menu, header, footer, sidebar, notice, advert, form, comment list or the like, those outside
+<article> or <main> where the page has text inside one, and else those that are mostly links. Lengths are summed over
+windows of WINDOW lines. A surge is where the sum reaches SHARE of the page's largest, a dive where it falls to 0; the
+main text is every region with a surge, with its neighbours from where the sum left 0 up to the dive.
 """
 
 from __future__ import annotations
@@ -139,17 +139,19 @@ def lines(html: str) -> list[Line]:
     return out
 
 
-def regions(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
-    """From each surge to the next dive of the window sums: runs of lines, first to last with text."""
+def regions(lengths: list[int], window: int = WINDOW, share: float = 0) -> list[tuple[int, int]]:
+    """Runs of lines, first to last with text, from where the window sums leave 0 to where they dive to it again, if they surge between."""
     sums = [sum(lengths[i : i + window]) for i in range(len(lengths))]
-    out, begin = [], None
+    surge = share * max(sums, default=0)
+    out, begin, most = [], None, 0
     for i, s in enumerate([*sums, 0]):
-        if s and begin is None:
-            begin = i
-        elif not s and begin is not None:
-            held = [j for j in range(begin, min(i + window, len(lengths))) if lengths[j]]
-            out.append((held[0], held[-1]))
-            begin = None
+        if s:
+            begin, most = i if begin is None else begin, max(most, s)
+        elif begin is not None:
+            if most >= surge:
+                held = [j for j in range(begin, min(i + window, len(lengths))) if lengths[j]]
+                out.append((held[0], held[-1]))
+            begin, most = None, 0
     return out
 
 
@@ -158,11 +160,7 @@ def main_text(html: str | None) -> str:
     found = lines(html or "")
     content = any(x.inside and not x.apart for x in found)
     lengths = [0 if x.apart or (content and not x.inside) or (not content and x.links > LINKS * len(x.text)) else len(x.text) for x in found]
-    spans = regions(lengths, WINDOW if content else 1)
-    if not content and spans:
-        weight = [sum(lengths[a : b + 1]) for a, b in spans]
-        spans = [s for s, w in zip(spans, weight, strict=True) if w >= SHARE * max(weight)]
-    return "\n".join(found[i].text for a, b in spans for i in range(a, b + 1) if lengths[i])
+    return "\n".join(found[i].text for a, b in regions(lengths, WINDOW, SHARE) for i in range(a, b + 1) if lengths[i])
 
 
 def extract(pages: DataFrame, key: str = "page_id", html: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

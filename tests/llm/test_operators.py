@@ -196,6 +196,13 @@ def test_regions_are_between_surge_and_dive():
     assert html_extract.regions([1, 0, 1], 3) == [(0, 2)] and html_extract.regions([0, 0], 3) == [] and html_extract.regions([], 3) == []
 
 
+def test_window_sums_decide():
+    long, ad = "<p>" + "text " * 20 + "end", "<div class=ad>buy</div>"
+    for tag in ("div", "article"):  # one window for all pages: a neighbour in reach of a surge stays, what never surges goes
+        assert html_extract.main_text(f"<{tag}>{long}{ad * 2}<p>near{ad * 3}<p>far</{tag}>") == "text " * 20 + "end\nnear"
+    assert html_extract.regions([50, 0, 0, 4, 0, 0, 0, 9, 0, 0, 0, 12], 3, 0.2) == [(0, 3), (11, 11)]
+
+
 def test_extract_odd_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (None, None, "<p>a</p>", "y"), (1, "u", "", "x")], "page_id long, url string, html string, text string")
     assert sorted(r["n_chars"] for r in html_extract.extract(df).collect()) == [0, 0, 1]
