@@ -4,16 +4,21 @@ Seeds are what fixed shapes find (the base kinds, and strings that only a genera
 signs before an identifier make its pattern: either a named field (``token = "``) or the two words before it. Patterns
 and instances form a graph; Spark scores it in rounds: a pattern is as sure as the share of its occurrences in the whole
 corpus that hold believed instances, and an instance is as believed as the surest pattern that holds it. What sure
-patterns hold elsewhere is personal data too, whatever it looks like.
+patterns hold elsewhere is personal data too, whatever it looks like: a field's value up to white space, a quote or an
+angle bracket, and any word behind two sure words. Only values of fields and words of 5 signs with a digit are instances
+of the graph, so a word without a digit never makes another pattern sure.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,11 +37,11 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-#: The sign and value of a named field, its name, and the rest of a word from its first digit on.
-FIELD = re.compile(r"([=:])[ ]?([\"']?)([^\s\"'<>]{4,200})")
-NAME = re.compile(r"(?<![^\W\d_])[^\W\d_]{2,24}[ ]?$")
-NUMBERED = re.compile(r"[0-9]\S{3,200}")
-SECRET = re.compile(r"[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?=[A-Za-z]*[0-9])[A-Za-z0-9_-]{40,128}")
+#: The sign and value of a named field, a sign in a value, and the rest of a word from its first digit on.
+FIELD = re.compile(r"([=:])[ ]?([\"']?)([^\s\"'<>]{4,}+)")
+SIGN = re.compile("[=:]")
+NUMBERED = re.compile(r"[0-9]\S*+")
+SECRET = re.compile(r"[0-9a-f]{32,}+|[0-9A-F]{32,}+|(?=[A-Za-z]*+[0-9])[A-Za-z0-9_-]{40,}+")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -82,10 +87,34 @@ def _hash(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(parts).encode(), digest_size=8).digest(), "big", signed=True)
 
 
+def _name(text: str, at: int) -> str:
+    """The letters before a position, or before a space there."""
+    end = begin = at - (text[at - 1 : at] == " ")
+    while begin and text[begin - 1].isalpha():
+        begin -= 1
+    return text[begin:end].lower()
+
+
 def _two_words(text: str, at: int) -> str | None:
     """The two words before a position, if they stand right before it."""
-    words = text[max(0, at - 120) : at].split()
-    return " ".join(words[-2:]).lower() if len(words) >= 3 or (len(words) == 2 and at <= 120) else None
+    words = []
+    for _ in range(2):
+        while at and text[at - 1].isspace():
+            at -= 1
+        end = at
+        while at and not text[at - 1].isspace():
+            at -= 1
+        words.append(text[at:end])
+    return f"{words[1]} {words[0]}" if words[1] else None
+
+
+def _bare(text: str, a: int, b: int) -> tuple[int, int]:
+    """The span without the signs at its ends."""
+    while b > a and not text[b - 1].isalnum():
+        b -= 1
+    while a < b and not text[a].isalnum():
+        a += 1
+    return a, b
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, int, int, bool, bool]]:
@@ -99,31 +128,33 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, i
 
     out, seen = [], set()
     for m in FIELD.finditer(text) if "=" in text or ":" in text else ():
-        if not (name := NAME.search(text[max(0, m.start() - 26) : m.start()])):
-            continue
         a, b = m.span(3)
         while b > a and text[b - 1] in ".,;!?)":
             b -= 1
-        seen.add(a)
-        out.append((a, b, _hash("field", name[0].strip().lower(), m[1], m[2]), _hash(text[a:b].lower()), meets(a, b) or SECRET.fullmatch(text, a, b) is not None, True))
+        fields = [(m.start(), m[1], m[2], a), *((x.start(), x[0], "", x.end()) for x in SIGN.finditer(text, a, m.end() - 4))]
+        # Values that end together are hashed from their end on, so that a value of many fields takes no squared time.
+        value, done = hashlib.blake2b(digest_size=8), b
+        for at, sign, quote, a in reversed(fields):
+            if a >= b:
+                continue
+            value.update(text[a:done].lower()[::-1].encode())
+            done = a
+            if len(name := _name(text, at)) >= 2:
+                seen.add(a)
+                out.append((a, b, _hash("field", name, sign, quote), int.from_bytes(value.digest(), "big", signed=True), meets(a, b) or SECRET.fullmatch(text, a, b) is not None, True))
     for m in NUMBERED.finditer(text):
         a, b = m.span()
-        while a > 0 and m.start() - a < 9 and not text[a - 1].isspace():
+        while a and not text[a - 1].isspace():
             a -= 1
-        if a > 0 and not text[a - 1].isspace():
-            continue
         left = _two_words(text, a)
-        while b > a and not text[b - 1].isalnum():
-            b -= 1
-        while a < b and not text[a].isalnum():
-            a += 1
+        a, b = _bare(text, a, b)
         if left and a not in seen and b - a >= 5:
-            out.append((a, b, _bigram(left), _hash(text[a:b].lower()), meets(a, b) or SECRET.fullmatch(text, a, b) is not None, False))
+            out.append((a, b, _bigram(left), _hash(text[a:b].lower()[::-1]), meets(a, b) or SECRET.fullmatch(text, a, b) is not None, False))
     return out
 
 
 def _bigram(two: str) -> int:
-    """The hash that word_hashes and gram_hashes give two lower-cased words."""
+    """The hash that word_hashes and gram_hashes give two words."""
     data = two.encode()
     words = word_hashes(np.frombuffer(data, np.uint8), np.array([0, len(data)]), BLANK_WORDS)[0]
     return int(gram_hashes(words, 2).astype(np.int64)[0]) if len(words) == 2 else 0
@@ -152,16 +183,19 @@ def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
     return map_batches(docs.select(key, text), run, f"`{key}` {docs.schema[key].dataType.simpleString()}, __doc bigint, __base array<{SPAN}>, __found array<{CANDIDATE}>")
 
 
-def count_patterns(docs: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
-    """(pattern, total): how often the two words of each pattern stand in the texts, one after the other."""
-    spark = docs.sparkSession
+def blocks(patterns: DataFrame) -> Iterator[Broadcast]:
+    """The patterns as sorted arrays of about PATTERN_BLOCK."""
     n = -(-patterns.count() // PATTERN_BLOCK)
-    out = spark.createDataFrame([], "pattern bigint, total bigint")
     for block in range(n):
         known = np.sort(np.array([r[0] for r in patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(n)) == block).collect()], np.int64))
-        if not len(known):
-            continue
-        held = spark.sparkContext.broadcast(known)
+        if len(known):
+            yield patterns.sparkSession.sparkContext.broadcast(known)
+
+
+def count_patterns(docs: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
+    """(pattern, total): how often the two words of each pattern stand in the texts, one after the other."""
+    out = docs.sparkSession.createDataFrame([], "pattern bigint, total bigint")
+    for held in blocks(patterns):
 
         def run(batch: pa.RecordBatch, held=held) -> pa.RecordBatch:
             known = held.value
@@ -179,6 +213,42 @@ def count_patterns(docs: DataFrame, text: str, patterns: DataFrame) -> DataFrame
     return out.groupBy("pattern").agg(F.sum("total").alias("total"))
 
 
+def behind(column: pa.Array, known: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(row, start, end) of every word behind two words whose pattern is known (sorted), without the signs at its ends."""
+    data, offsets = utf8_view(column)
+    for a, b in pieces(offsets) if len(known) else ():
+        part, cuts = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        hashes, row, begin, end = word_hashes(part, cuts, BLANK_WORDS)
+        if len(hashes) < 3:
+            continue
+        grams = gram_hashes(hashes, 2).astype(np.int64)[:-1]
+        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        hit = np.flatnonzero((known[at] == grams) & (row[:-2] == row[2:])) + 2
+        if not len(hit):
+            continue
+        points = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
+        for i in hit:
+            word = part[begin[i] : end[i]].tobytes().decode()
+            x, y = _bare(word, 0, len(word))
+            if y > x:
+                start = int(points[begin[i]] - points[cuts[row[i]]])
+                yield a + int(row[i]), start + x, start + y
+
+
+def words_behind(docs: DataFrame, key: str, text: str, patterns: DataFrame) -> DataFrame:
+    """(__doc, start, end) of every word behind two words that are one of the patterns, whatever the word looks like."""
+    schema = "__doc bigint, start bigint, end bigint"
+    out = docs.sparkSession.createDataFrame([], schema)
+    for held in blocks(patterns):
+
+        def run(batch: pa.RecordBatch, held=held) -> pa.RecordBatch:
+            found = [(_hash(str(batch.column(0)[i].as_py()), batch.column(1)[i].as_py()), x, y) for i, x, y in behind(batch.column(1), held.value)]
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], names=["__doc", "start", "end"])
+
+        out = out.unionByName(map_batches(docs.select(key, text), run, schema))
+    return out
+
+
 def score(found: DataFrame, docs: DataFrame, text: str, rounds: int = ROUNDS, sure: float = SURE, support: int = SUPPORT) -> DataFrame:
     """The sure patterns of the graph of patterns and instances."""
     edges = cut(found.select(F.explode("__found").alias("c")).select("c.pattern", "c.instance", "c.seed", "c.field").groupBy("pattern", "instance", "field").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")))
@@ -205,9 +275,10 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", **mo
     columns are not read."""
     found = cut(scan(docs, key, text))
     patterns = score(found, docs, text, **more)
-    each = found.where(F.size("__found") > 0).select("__doc", "__base", F.explode("__found").alias("c"))
-    overlaps = F.exists("__base", lambda b: (b["start"] < F.col("c.end")) & (b["end"] > F.col("c.start")))
-    hits = each.where(~overlaps).withColumn("pattern", F.col("c.pattern")).join(patterns, "pattern").select("__doc", F.struct(F.lit(FOUND).alias("kind"), "c.start", "c.end").alias("s"))
+    spans = found.where(F.size("__found") > 0).select("__doc", F.explode("__found").alias("c")).withColumn("pattern", F.col("c.pattern")).join(patterns, "pattern").select("__doc", "c.start", "c.end")
+    spans = cut(spans.unionByName(words_behind(docs, key, text, patterns.select("pattern"))).distinct())
+    overlaps = F.exists("__base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
+    hits = spans.join(found.select("__doc", "__base").dropDuplicates(["__doc"]), "__doc").where(~overlaps).select("__doc", F.struct(F.lit(FOUND).alias("kind"), "start", "end").alias("s"))
     added = hits.groupBy("__doc").agg(F.array_sort(F.collect_set("s")).alias("__added"))
     out = found.join(added, "__doc", "left")
     return out.select(key, F.col("__base").alias("base"), F.concat("__base", F.coalesce("__added", F.array().cast(f"array<{SPAN}>"))).alias("spans"))
@@ -226,16 +297,20 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str
     rows = patterns.collect() if patterns.count() <= PATTERN_BLOCK else None
     if rows is None:
         raise ValueError("more sure patterns than one worker holds; raise `support`")
-    held = docs.sparkSession.sparkContext.broadcast({r["pattern"] for r in rows})
+    held = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["pattern"] for r in rows], np.int64)))
     columns, at = docs.columns, docs.columns.index(text)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out, changed = [], []
-        for t in batch.column(at).to_pylist():
+        out, changed, words = [], [], defaultdict(list)
+        sure = set(held.value.tolist())
+        for i, x, y in behind(batch.column(at), held.value):
+            words[i].append((x, y))
+        for i, t in enumerate(batch.column(at).to_pylist()):
             spans = base_spans(t) if t else []
             base = len(spans)
             if t:
-                spans += [(FOUND, c[0], c[1]) for c in candidates(t, spans) if c[2] in held.value and not any(a < c[1] and b > c[0] for _, a, b in spans[:base])]
+                added = [(c[0], c[1]) for c in candidates(t, spans) if c[2] in sure] + words[i]
+                spans += [(FOUND, x, y) for x, y in added if not any(a < y and b > x for _, a, b in spans[:base])]
             parts, done = [], 0
             for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
                 if b > done:

@@ -253,6 +253,21 @@ def test_patterns_find_unseen_identifiers(spark):
     assert got[0] == [[("secret", 20, 60)]] * 2 and got[102] == got[103] == got[104] == got[105] == [[]]
 
 
+def test_values_reach_their_end(spark):
+    long = "aB.3" * 75
+    assert [c[:2] for c in pii.candidates(f"x token={long} y", [])][0] == (8, 308)
+    assert sorted(c[:2] for c in pii.candidates("http://h/?" + "a" * 300 + "&token=ZZ-1234-5", [])) == [(5, 326), (317, 326)]
+    assert [c[:2] for c in pii.candidates("é account of jonathansmith4211, now", [])] == [(13, 30)]
+    assert pii.SECRET.fullmatch("0af" * 100)
+    pii.candidates("aa=" * 100_000, [])
+    rows = bootstrapped() + [(200, f'token = "{long}"'), *((300 + i, f"É Éa account of u{i}ser{i:040x} now") for i in range(20)), (400, "é Éa account of (jonathan) now"), (401, "my account of jonathansmith4211.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert got[200] == 'token = "[SECRET]"' and got[400] == "é Éa account of ([SECRET]) now" and got[401] == "my account of [SECRET]."
+    spans = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in pii.personal_data(docs).collect()}
+    assert spans[200] == [("secret", 9, 309)] and spans[400] == [("secret", 17, 25)] and spans[401] == [("secret", 14, 31)]
+
+
 def test_redact(spark):
     got = {r["doc_id"]: r for r in pii.redact(spark.createDataFrame([(*r, 1) for r in bootstrapped()], "doc_id long, text string, n_chars long"), length="n_chars").collect()}
     assert got[100]["text"] == 'odd one token = "[SECRET]" stays' and got[100]["n_chars"] == 32
