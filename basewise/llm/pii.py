@@ -252,20 +252,23 @@ def words_behind(docs: DataFrame, key: str, text: str, patterns: DataFrame) -> D
 def score(found: DataFrame, docs: DataFrame, text: str, rounds: int = ROUNDS, sure: float = SURE, support: int = SUPPORT) -> DataFrame:
     """The sure patterns of the graph of patterns and instances."""
     edges = cut(found.select(F.explode("__found").alias("c")).select("c.pattern", "c.instance", "c.seed", "c.field").groupBy("pattern", "instance", "field").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")))
-    # A pattern is looked at if enough different instances stand in it, one of them a seed.
-    looked = cut(edges.groupBy("pattern", "field").agg(F.count(F.lit(1)).alias("instances"), F.sum("n").alias("n"), F.max("seed").alias("seeded")).where((F.col("instances") >= support) & F.col("seeded")))
-    totals = count_patterns(docs, text, looked.where(~F.col("field")).select("pattern"))
-    known = cut(looked.join(totals, "pattern", "left").select("pattern", F.greatest(F.col("n"), F.coalesce("total", F.lit(0))).alias("total")))
-    graph = cut(edges.join(known, "pattern").select("pattern", "instance", "n", "total", "seed"))
+    # A pattern is looked at if enough different instances stand in it, whether one of them is a seed or not.
+    looked = edges.groupBy("pattern", "field").agg(F.count(F.lit(1)).alias("instances"), F.sum("n").alias("held")).where(F.col("instances") >= support).drop("instances")
+    graph = cut(edges.join(looked, ["pattern", "field"]))
+    known = graph.sparkSession.createDataFrame([], "pattern bigint, total bigint")
     believed = graph.withColumn("belief", F.col("seed").cast("double"))
     for turn in range(rounds):
-        patterns = believed.groupBy("pattern").agg((F.sum(F.col("belief") * F.col("n")) / F.max("total")).alias("sureness"))
-        if turn == rounds - 1:
-            break
-        by_instance = graph.join(patterns, "pattern").groupBy("instance").agg(F.max("sureness").alias("held"), F.max("seed").alias("seed"))
-        belief = by_instance.select("instance", F.greatest(F.col("seed").cast("double"), F.when(F.col("held") >= sure, F.col("held")).otherwise(0.0)).alias("belief"))
-        believed = cut(graph.join(belief, "instance").select("pattern", "instance", "n", "total", "seed", "belief"))
-    return cut(patterns.where(F.col("sureness") >= sure).select("pattern", "sureness"))
+        # Occurrences are counted once a pattern would be sure without those that hold no candidate: no other can be sure.
+        near = cut(believed.groupBy("pattern", "field").agg(F.sum(F.col("belief") * F.col("n")).alias("believed"), F.max("held").alias("held")).where(F.col("believed") >= sure * F.col("held")))
+        new = cut(near.join(known, "pattern", "left_anti"))
+        totals = count_patterns(docs, text, new.where(~F.col("field")).select("pattern"))
+        known = cut(known.unionByName(new.join(totals, "pattern", "left").select("pattern", F.greatest("held", F.coalesce("total", F.lit(0))).alias("total"))))
+        patterns = cut(near.join(known, "pattern").select("pattern", (F.col("believed") / F.col("total")).alias("sureness")).where(F.col("sureness") >= sure))
+        if turn < rounds - 1:
+            by_instance = graph.join(patterns, "pattern", "left").groupBy("instance").agg(F.max("sureness").alias("sureness"), F.max("seed").alias("seed"))
+            belief = by_instance.select("instance", F.greatest(F.col("seed").cast("double"), F.coalesce("sureness", F.lit(0.0))).alias("belief"))
+            believed = cut(graph.join(belief, "instance"))
+    return patterns
 
 
 def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", **more) -> DataFrame:

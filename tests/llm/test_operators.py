@@ -268,6 +268,15 @@ def test_values_reach_their_end(spark):
     assert spans[200] == [("secret", 9, 309)] and spans[400] == [("secret", 17, 25)] and spans[401] == [("secret", 14, 31)]
 
 
+def test_patterns_two_hops_from_a_seed(spark):
+    rows = [f"one account of {i:040x} now" for i in range(20)]  # seeds make "account of" sure,
+    rows += [f"the account of unseen{i}x77 now" for i in range(8)] + [f"we call him unseen{i}x77 now" for i in range(8)]  # and that "call him", where no seed stands
+    rows += ["we call him other99x1 now", "we call her other98x1 now"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in pii.personal_data(docs, sure=0.5).collect()}
+    assert got[36] == [("secret", 12, 21)] and got[37] == [] and got[28] == [("secret", 12, 22)]
+
+
 def test_redact(spark):
     got = {r["doc_id"]: r for r in pii.redact(spark.createDataFrame([(*r, 1) for r in bootstrapped()], "doc_id long, text string, n_chars long"), length="n_chars").collect()}
     assert got[100]["text"] == 'odd one token = "[SECRET]" stays' and got[100]["n_chars"] == 32
