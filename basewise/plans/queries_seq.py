@@ -170,6 +170,11 @@ def f36(spark, sf_dir):
     return _vectors(spark, sf_dir).where("id < 100").select("id", _r(M.gini(F.transform("xs", lambda x: F.abs(x))), "gini", 5))
 
 
+@query("f36_gini_whole")
+def f36b(spark, sf_dir):
+    return _vectors(spark, sf_dir).select("id", _r(M.gini(F.transform("xs", lambda x: F.abs(x))), "gini", 5))
+
+
 @query("f20_predicates", "select conv_id, turn, regexp_full_match(substr(text, 1, 1), '[+-]?[0-9]+') as whole, conv_id % 2 = 0 as even, contains(text, '.') as has_point from conversations")
 def f20(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", M.is_whole(F.substring("text", 1, 1)).alias("whole"), M.is_even(F.col("conv_id")).alias("even"), F.contains("text", F.lit(".")).alias("has_point"))

@@ -57,6 +57,12 @@ def test_other_queries_run(spark, name):
     assert registry.QUERIES[name](spark, SF).columns
 
 
+def test_gini_of_all_vectors(spark, duck):
+    want = duck.execute("with e as (select vec_id as id, unnest(list_transform(embedding, lambda x: abs(round(cast(x as double), 4)))) as x from embeddings) select a.id, sum(abs(a.x - b.x)) / (2 * count(*)) / avg(a.x) as gini from e a join e b using (id) group by a.id").fetchall()
+    got = {r["id"]: r["gini"] for r in registry.QUERIES["f36_gini_whole"](spark, SF).collect()}
+    assert len(got) == len(want) == 500 and all(abs(got[i] - g) < 2e-5 for i, g in want)
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
