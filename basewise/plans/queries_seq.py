@@ -220,6 +220,14 @@ def j19(spark, sf_dir):
     return K.around(c, sequences(spark, sf_dir), 10)
 
 
+@query("j19_around_whole")
+def j19b(spark, sf_dir):
+    """Centres so close that every base of every document stands around one."""
+    s = sequences(spark, sf_dir)
+    c = s.where("sequence <> ''").select("id", F.explode(F.sequence(F.lit(0), F.length("sequence") - 1, F.lit(11))).alias("centre"))
+    return K.around(c, s, 10)
+
+
 _EVAL = f"{SQL['react']}, ev as (select id, pos, value, pos % 3 <> 0 as paired from react where sample = 'A')"
 
 

@@ -15,7 +15,7 @@ import pandas as pd
 import pytest
 
 from basewise.plans import pipelines, registry
-from basewise.plans.views import rc_long
+from basewise.plans.views import rc_long, sequences
 from basewise.streaming import incremental
 
 SF = "/root/testdata/sf0.001"
@@ -63,6 +63,13 @@ def test_gini_of_all_vectors(spark, duck):
     assert len(got) == len(want) == 500 and all(abs(got[i] - g) < 2e-5 for i, g in want)
 
 
+def test_around_reaches_all_bases(spark):
+    want = {r["id"]: r["sequence"] for r in sequences(spark, SF).collect() if r["sequence"]}
+    got = registry.QUERIES["j19_around_whole"](spark, SF).collect()
+    assert {(r["id"], r["centre"], r["sequence"]) for r in got} == {(i, c, s[max(0, c - 10) : c + 11]) for i, s in want.items() for c in range(0, len(s), 11)}
+    assert len(got) == sum(-(-len(s) // 11) for s in want.values()) and max(len(s) for s in want.values()) > 311
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
