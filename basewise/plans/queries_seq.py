@@ -83,6 +83,11 @@ def f09(spark, sf_dir):
     return s.select("id", Q.hamming(F.col("a"), F.reverse("a")).cast("bigint").alias("distance"))
 
 
+@query("f09_hamming_whole")
+def f09b(spark, sf_dir):
+    return _short(spark, sf_dir).select("id", Q.hamming(F.col("sequence"), F.reverse("sequence")).cast("bigint").alias("distance"))
+
+
 @query("f10_extract", f"with {_SHORT} select id, case when len(sequence) >= 30 then substr(sequence, 11, 20) end as part from short")
 def f10(spark, sf_dir):
     return _short(spark, sf_dir).select("id", Q.extract(F.col("sequence"), F.lit(11), F.lit(30)).alias("part"))
@@ -369,6 +374,11 @@ def k11(spark, sf_dir):
     return sinks.fasta_records(_short(spark, sf_dir).where("length(sequence) <= 60").withColumn("id", F.col("id").cast("string")))
 
 
+@query("k11_fasta_whole")
+def k11b(spark, sf_dir):
+    return sinks.fasta_records(_short(spark, sf_dir).withColumn("id", F.col("id").cast("string")))
+
+
 @query("s18_peak_centres", f'with {SQL["iv"]} select event_id, cast(floor((start + "end") / 2 + 0.5) as bigint) as centre from iv')
 def s18(spark, sf_dir):
     from ..sources.text import centres

@@ -70,6 +70,14 @@ def test_around_reaches_all_bases(spark):
     assert len(got) == sum(-(-len(s) // 11) for s in want.values()) and max(len(s) for s in want.values()) > 311
 
 
+def test_fasta_and_hamming_of_whole_sequences(spark, duck):
+    short = duck.execute("select conv_id * 1000 + turn, regexp_replace(upper(text), '[^ACGT]', '', 'g') from conversations").fetchall()
+    fasta = sorted(r["value"] for r in registry.QUERIES["k11_fasta_whole"](spark, SF).collect())
+    assert fasta == sorted("\n".join([f">{i}", *(s[k : k + 60] for k in range(0, max(1, len(s)), 60))]) for i, s in short) and any(x.count("\n") > 1 for x in fasta)
+    distance = sorted(tuple(r) for r in registry.QUERIES["f09_hamming_whole"](spark, SF).collect())
+    assert distance == sorted((i, sum(x != y for x, y in zip(s, s[::-1], strict=True))) for i, s in short)
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
