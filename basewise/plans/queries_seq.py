@@ -208,11 +208,21 @@ def j15(spark, sf_dir):
     return K.neighbours(K.counts(sequences(spark, sf_dir), 5).where("n >= 200").select("kmer"))
 
 
+@query("j15_neighbours_whole")
+def j15b(spark, sf_dir):
+    return K.neighbours(K.counts(sequences(spark, sf_dir), 5).select("kmer"))
+
+
 @query("a44_weight_matrix", f"with {_KM} select cast(p - 1 as bigint) as pos, substr(kmer, cast(p as int), 1) as base, max(n) as weight from km, (select unnest(generate_series(1, 5)) as p) group by all")
 def a44(spark, sf_dir):
     return K.matrix(K.counts(sequences(spark, sf_dir), 5).where("n >= 200")).select(F.col("pos").cast("bigint").alias("pos"), "base", "weight")
 
 
+@query("a44_weight_matrix_whole")
+def a44b(spark, sf_dir):
+    return K.matrix(K.counts(sequences(spark, sf_dir), 5)).select(F.col("pos").cast("bigint").alias("pos"), "base", "weight")
+
+
 @query("x09_enriched_kmers")
 def x09(spark, sf_dir):
     s = sequences(spark, sf_dir)

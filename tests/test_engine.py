@@ -8,6 +8,7 @@ import re
 import shutil
 import subprocess
 import sys
+from collections import Counter
 from pathlib import Path
 
 import duckdb
@@ -78,6 +79,15 @@ def test_fasta_and_hamming_of_whole_sequences(spark, duck):
     assert distance == sorted((i, sum(x != y for x, y in zip(s, s[::-1], strict=True))) for i, s in short)
 
 
+def test_neighbours_and_weights_of_all_kmers(spark):
+    n = Counter(s[i : i + 5] for s in (r["sequence"] for r in sequences(spark, SF).collect()) for i in range(len(s) - 4))
+    pairs = {tuple(sorted((a, b))) for a in n for p in range(5) for c in "ACGT" if (b := a[:p] + c + a[p + 1 :]) in n and a != b}
+    assert sorted(tuple(r) for r in registry.QUERIES["j15_neighbours_whole"](spark, SF).collect()) == sorted(pairs)
+    weights = {(p, b): max((m for k, m in n.items() if k[p] == b), default=0) for p in range(5) for b in "ACGT"}
+    assert {(r["pos"], r["base"]): r["weight"] for r in registry.QUERIES["a44_weight_matrix_whole"](spark, SF).collect()} == {k: m for k, m in weights.items() if m}
+    assert min(n.values()) < 200
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
