@@ -2,20 +2,40 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows that one Arrow batch may hold, so that a batch of long texts stays small.
-BATCH_ROWS = 1000
+#: Rows and bytes that one Arrow batch may hold, so that a batch of long texts stays small; one longer row is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: Bytes of text that the array code handles at a time; one longer text makes a piece of its own.
 PIECE_BYTES = 1 << 20
 
+_settled = False
+
+
+def settle() -> None:
+    """Once in a worker: arrays come from the system in blocks of their own, so that freed ones go back at once."""
+    global _settled
+    if not _settled:
+        _settled = True
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            libc = ctypes.CDLL(None)
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: fixed, else it grows with the blocks that are freed
+            libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+            libc.mallopt(-8, 2)  # M_ARENA_MAX
+        except AttributeError:  # another C library
+            pass
+
 
 def release() -> None:
     """Gives memory that a finished task has freed back to the system: workers live on, and others need it."""
@@ -27,41 +47,132 @@ def release() -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to BATCH_ROWS if it is higher."""
+    """Lower the session's Arrow batch size to BATCH_ROWS if it is higher.
+
+    It stays so: plans read it when they run, after the operator that made them has returned."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+# -- intermediate tables and broadcasts ----------------------------------------------------------
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder, or (only where none is set, as in tests) a temporary one."""
+    """The folder that driver and executors share: the session's checkpoint folder. In local mode only, a temporary one where none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="basewise-"))
+        told = spark.conf.get("spark.checkpoint.dir", None)
+        if not told and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="basewise-"))
     return sc.getCheckpointDir()
 
 
+_folders: dict[str, str] = {}
+#: For each open scope, the folders and broadcasts that end with it.
+_scopes: list[list[str | Broadcast]] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _folder(spark: SparkSession) -> str:
+    """One folder for all intermediate tables of the application; it goes when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        _folders[app] = path = f"{shared_dir(spark)}/basewise-{app}"
+
+        def clean() -> None:
+            try:
+                remove(spark, path)
+            except Exception:  # noqa: BLE001 (the JVM may have ended first)
+                pass
+
+        atexit.register(clean)
+    return _folders[app]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: its lineage ends there, and lost executors lose nothing of it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/basewise-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def share(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast that ends with the scope."""
+    held = spark.sparkContext.broadcast(value)
+    if _scopes:
+        _scopes[-1].append(held)
+    return held
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A scope: what is cut or shared inside goes at its end. It gives a function that cuts a result for the outside."""
+    mine: list[str | Broadcast] = []
+    _scopes.append(mine)
+
+    def keep(df: DataFrame) -> DataFrame:
+        _scopes.pop()
+        try:
+            return cut(df)
+        finally:
+            _scopes.append(mine)
+
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        for x in mine:
+            if isinstance(x, str):
+                remove(spark, x)
+            else:
+                x.destroy()
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to clash with no column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batch: pa.RecordBatch, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most size bytes, at least one row each; none if it is empty."""
+    if batch.num_rows > 1 and batch.nbytes > size:
+        half = batch.num_rows // 2
+        yield from slices(batch.slice(0, half), size)
+        yield from slices(batch.slice(half), size)
+    elif batch.num_rows:
+        yield batch
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """df.mapInArrow with a function from batch to batch; empty batches are passed over."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None and out.num_rows:
-                yield out
+            for part in slices(batch):
+                if (out := fn(part)) is not None and out.num_rows:
+                    yield out
         release()
 
     return df.mapInArrow(run, schema)

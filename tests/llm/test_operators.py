@@ -368,7 +368,7 @@ def benchmark_case():
     return docs, items
 
 
-@pytest.mark.parametrize("block", [1 << 20, 150])
+@pytest.mark.parametrize("block", [1 << 20, 600])
 def test_contamination_equals_brute_force(spark, block):
     docs, items = benchmark_case()
     got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block)
