@@ -8,7 +8,8 @@ rest of the text, where the encoding is the whole text's own.
 
 Short texts are encoded whole. Where the tokenizer is of the kind WORD_KIND, its first steps (normal form, lower case,
 split) are plain enough to be done on a whole text at once, and a worker keeps the library's answer for each word
-(bounded by MEMO); texts with code points from U+0300 on or with the marks of special tokens go to the library as they are.
+(bounded by MEMO, kept from task to task); texts with code points from U+0300 on, with letters whose lower case is
+there, or with the marks of special tokens go to the library as they are.
 """
 
 from __future__ import annotations
@@ -25,15 +26,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import map_batches, table
 
-CHUNK, OVERLAP, MEMO = 65_536, 512, 1_000_000
+CHUNK, OVERLAP, MEMO = 8192, 256, 200_000
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 
 #: The code points that Unicode calls White_Space.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 BLANK = re.compile(f"[{SPACE}]")
-#: Below U+0300 every text is its own NFC, and lower case goes by single characters.
-PLAIN = re.compile("[^\\x00-\u02ff]|<\\|")
+#: Below U+0300 every text is its own NFC, and lower case goes by single characters; a few of them become letters beyond.
+FAR = "".join(c for c in map(chr, range(0x300)) if any(ord(x) >= 0x300 and unicodedata.category(x)[0] in "LN" for x in c.lower()))
+PLAIN = re.compile(f"[^\\x00-\u02ff]|[{FAR}]|<\\|")
 
 #: The parts of the tokenizer file that make up WORD_KIND.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -97,6 +99,19 @@ class Encoder:
         return out
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(vocabulary: str) -> Encoder:
+    """The encoder of a vocabulary; a worker keeps the last one."""
+    if vocabulary not in _encoders:
+        import public_tokenizers
+
+        _encoders.clear()
+        _encoders[vocabulary] = Encoder(public_tokenizers.path(vocabulary))
+    return _encoders[vocabulary]
+
+
 def splice(left: list[tuple[int, int]], right: list[tuple[int, int]], text: str, low: int) -> tuple[int, int] | None:
     """Tokens of left to keep, and tokens of right to drop, at the first proven common boundary at or after low; None if there is none.
 
@@ -111,14 +126,15 @@ def splice(left: list[tuple[int, int]], right: list[tuple[int, int]], text: str,
     return None
 
 
-def count_long(text: str, encoder: Encoder, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-    """Tokens of text, from overlapping chunks."""
-    total, begin, end, width = 0, 0, min(len(text), chunk), overlap
+def count_long(text: str, encoder: Encoder, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[int, int]:
+    """Tokens of text, from overlapping chunks, and how many chunks were encoded."""
+    total, begin, end, width, chunks = 0, 0, min(len(text), chunk), overlap, 1
     left = encoder.offsets(text[:end])
     while end < len(text):
         low = max(begin, end - width)
         stop = min(len(text), low + max(chunk, 2 * width))
         right = [(s + low, e + low) for s, e in encoder.offsets(text[low:stop])]
+        chunks += 1
         if at := splice(left, right, text, low):
             total += at[0]
             left, begin, end, width = right[at[1] :], right[at[1]][0], stop, overlap
@@ -126,35 +142,30 @@ def count_long(text: str, encoder: Encoder, chunk: int = CHUNK, overlap: int = O
             width *= 4
         else:  # the overlap is the whole left chunk, and right the same chunk made longer
             left, end, width = right, stop, 4 * width
-    return total + len(left)
+    return total + len(left), chunks
 
 
 def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, limit: int = LIMIT, chunk: int = CHUNK) -> DataFrame:
-    """key, n_bytes, n_tokens and over_limit (n_tokens > limit) of every row.
+    """key, n_bytes, n_tokens, over_limit (n_tokens > limit) and n_chunks (overlapping chunks; 1: encoded whole) of every row.
 
     Null and empty texts have 0 bytes and tokens; repeated rows give repeated rows; other columns are not read; an
     empty table gives no rows."""
 
-    kept: dict[str, Encoder] = {}
-
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not kept:
-            import public_tokenizers
-
-            kept["e"] = Encoder(public_tokenizers.path(vocabulary))
-        encoder = kept["e"]
+        held = encoder(vocabulary)
         texts = [t or "" for t in batch.column(1).to_pylist()]
         n = np.zeros(len(texts), np.int64)
         short = [i for i, t in enumerate(texts) if len(t) <= chunk]
-        n[short] = encoder.counts([texts[i] for i in short])
+        n[short] = held.counts([texts[i] for i in short])
+        chunks = np.ones(len(texts), np.int64)
         for i, t in enumerate(texts):
             if len(t) > chunk:
-                n[i] = count_long(t, encoder, chunk)
+                n[i], chunks[i] = count_long(t, held, chunk)
         size = [len(t.encode()) for t in texts]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(n), pa.array(n > limit)], names=[key, "n_bytes", "n_tokens", "over_limit"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(n), pa.array(n > limit), pa.array(chunks)], names=[key, "n_bytes", "n_tokens", "over_limit", "n_chunks"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return map_batches(docs.select(key, text), run, f"`{key}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return map_batches(docs.select(key, text), run, f"`{key}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean, n_chunks bigint")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
