@@ -3,7 +3,8 @@
 Training counts hashed byte trigrams by language over all labelled rows. A text is cut into segments of SEGMENT
 trigrams; expectation-maximisation over the segments' likelihoods estimates the share of each language. The language
 set grows from the likeliest language, in order of share, as long as the likelihood rises by more than PENALTY times
-the logarithm of the number of segments for each further language.
+the logarithm of the number of segments for each further language. EM runs until no text's log likelihood rises by
+TOLERANCE.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, pieces, release, small_batches, table, utf8_view
+from .common import map_batches, pieces, release, settle, slices, small_batches, table, utf8_view
 
-BUCKETS, SEGMENT, STEPS, PENALTY, SMOOTH = 1 << 16, 32, 8, 3.0, 0.5
+BUCKETS, SEGMENT, TOLERANCE, PENALTY, SMOOTH = 1 << 16, 32, 0.01, 3.0, 0.5
 #: Trigrams of a segment overlap; its likelihood counts as if a third of them did.
 TEMPER = 1 / 3
-LETTER = re.compile(r"[^\W\d_]")
+#: Word characters that aren't decimal digits: letters, but other numbers too.
+WORDLIKE = re.compile(r"[^\W\d_]")
 
 #: Letters keep (A-Z as a-z), all bytes from 0x80 on too; the rest are spaces.
 CODE = np.full(256, 32, np.uint32)
@@ -43,13 +45,18 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, places
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in WORDLIKE.finditer(text))
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
     """The languages in order, and for each a row of BUCKETS + 1 log probabilities; rows without lang are passed over."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         totals: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in (x for y in batches for x in slices(y)):
             names = batch.column(1).to_pylist()
             data, offsets = utf8_view(batch.column(0))
             for a, b in pieces(offsets):
@@ -78,18 +85,28 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
     return names, model.astype(np.float32)
 
 
-def _mix(likelihood: np.ndarray, row: np.ndarray, starts: np.ndarray, sizes: np.ndarray, share: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+def _mix(likelihood: np.ndarray, row: np.ndarray, starts: np.ndarray, sizes: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """EM over segments: shares of the languages that share allows (not 0), and the texts' log likelihoods."""
     top = likelihood.max(1)
     scaled = np.exp(likelihood - top[:, None])
-    for _ in range(steps):
+    out, value = share.copy(), np.full(len(sizes), -np.inf)
+    live = np.arange(len(sizes))  # texts that still move
+    while True:
         part = scaled * share[row]
-        total = part.sum(1)
-        part /= np.maximum(total, 1e-300)[:, None]
+        total = np.maximum(part.sum(1), 1e-300)
+        now = np.add.reduceat(np.log(total) + top, starts)
+        moves = now > value[live] + TOLERANCE
+        out[live], value[live] = share, now
+        if not moves.any():
+            return out, value
+        part /= total[:, None]
         share = np.add.reduceat(part, starts, axis=0) / sizes[:, None]
         share /= np.maximum(share.sum(1), 1e-300)[:, None]
-    total = np.maximum((scaled * share[row]).sum(1), 1e-300)
-    return share, np.add.reduceat(np.log(total) + top, starts)
+        if not moves.all():
+            held = moves[row]
+            scaled, top, live, share, sizes = scaled[held], top[held], live[moves], share[moves], sizes[moves]
+            starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+            row = np.repeat(np.arange(len(sizes)), sizes)
 
 
 def mixtures(data: np.ndarray, offsets: np.ndarray, model: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
@@ -103,7 +120,7 @@ def mixtures(data: np.ndarray, offsets: np.ndarray, model: np.ndarray, penalty:
     cuts = places[:-1][row] + SEGMENT * (np.arange(len(row)) - starts[row])
     likelihood = np.stack([np.add.reduceat(logs[grams], cuts) for logs in model], axis=1).astype(np.float64) * TEMPER
     languages = model.shape[0]
-    share, _ = _mix(likelihood, row, starts, sizes, np.full((len(sizes), languages), 1.0 / languages), STEPS)
+    share, _ = _mix(likelihood, row, starts, sizes, np.full((len(sizes), languages), 1.0 / languages))
     order = np.argsort(-share, axis=1, kind="stable")
     # One language, the likeliest of all; then more, in order of their share.
     single = np.add.reduceat(likelihood, starts, axis=0)
@@ -112,7 +129,7 @@ def mixtures(data: np.ndarray, offsets: np.ndarray, model: np.ndarray, penalty:
     out = np.zeros_like(share)
     out[at, best] = 1
     value = single[at, best]
-    open_ = np.flatnonzero(share.max(1) < 0.98) if languages > 1 else at[:0]
+    open_ = at
     for k in range(2, languages + 1):
         if not len(open_):
             break
@@ -120,7 +137,7 @@ def mixtures(data: np.ndarray, offsets: np.ndarray, model: np.ndarray, penalty:
         np.put_along_axis(allowed, order[open_, :k], 1.0 / k, axis=1)
         keep = np.isin(row, open_)
         inner = sizes[open_]
-        some, sum_ = _mix(likelihood[keep], np.repeat(np.arange(len(open_)), inner), np.concatenate(([0], np.cumsum(inner)))[:-1], inner, allowed, STEPS)
+        some, sum_ = _mix(likelihood[keep], np.repeat(np.arange(len(open_)), inner), np.concatenate(([0], np.cumsum(inner)))[:-1], inner, allowed)
         better = sum_ - value[open_] > penalty * np.log(inner + 1)
         won = open_[better]
         out[won], value[won] = some[better], sum_[better]
@@ -131,22 +148,24 @@ def mixtures(data: np.ndarray, offsets: np.ndarray, model: np.ndarray, penalty:
 def identify(docs: DataFrame, names: list[str], model: np.ndarray, text: str = "text", pred: str = "lang_pred", score: str = "score", mixture: str = "mixture") -> DataFrame:
     """docs with pred (the language with the largest share, ``und`` for texts that are null or hold no letter), score (its share, 0 for ``und``) and mixture (name:share of the chosen set).
 
-    With nothing learned every text is ``und``; repeated rows give repeated rows."""
+    With nothing learned every text is ``und``; repeated rows give repeated rows; an empty table gives no rows; columns
+    of docs that have one of the three names are replaced."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    columns, at = docs.columns, docs.columns.index(text)
+    docs = docs.select(F.col(text).alias("__text"), *(c for c in docs.columns if c.lower() not in {pred.lower(), score.lower(), mixture.lower()}))
+    columns = docs.columns[1:]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        column = batch.column(at)
-        known = [bool(names) and t is not None and LETTER.search(t) is not None for t in column.to_pylist()]
+        column = batch.column(0)
+        known = [bool(names) and t is not None and has_letter(t) for t in column.to_pylist()]
         data, offsets = utf8_view(column)
         shares = np.concatenate([mixtures(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], held.value) for a, b in pieces(offsets)]) if names else np.zeros((len(known), 1))
         best = shares.argmax(1)
         told = [",".join(f"{names[j]}:{s[j]:.3f}" for j in np.argsort(-s, kind="stable") if s[j] > 0) if k else "" for k, s in zip(known, shares, strict=True)]
         new = [pa.array([names[b] if k else "und" for k, b in zip(known, best, strict=True)], pa.string()), pa.array([float(min(1.0, s[b])) if k else 0.0 for k, s, b in zip(known, shares, best, strict=True)]), pa.array(told, pa.string())]
-        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(columns))), *new], names=[*columns, pred, score, mixture])
+        return pa.RecordBatch.from_arrays([*(batch.column(i + 1) for i in range(len(columns))), *new], names=[*columns, pred, score, mixture])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_batches(docs, run, f"{kinds}, `{pred}` string, `{score}` double, `{mixture}` string")
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields[1:])
+    return map_batches(docs, run, f"{kinds}`{pred}` string, `{score}` double, `{mixture}` string")
 
 
 def held_out(key: Column) -> Column:
