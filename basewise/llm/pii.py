@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK_WORDS, cut, gram_hashes, map_batches, pieces, table, utf8_view, word_hashes
+from .common import BLANK_WORDS, cut, gram_hashes, map_batches, pieces, scratch, share, spare, table, utf8_view, word_hashes
 
 KINDS = ("email", "ip", "card", "phone")
 FOUND = "secret"
@@ -117,15 +119,21 @@ def _bare(text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, int, int, bool, bool]]:
-    """(start, end, pattern, instance, seed, named field) of everything that could be an identifier."""
+def meeting(base: list[tuple[str, int, int]]) -> Callable[[int, int], bool]:
+    """A test whether any of the spans overlaps a given one: some begin before its end, and the furthest end of those lies behind its start."""
     marks = sorted((a, b) for _, a, b in base)
-    starts = [a for a, _ in marks]
+    starts, furthest = [a for a, _ in marks], list(accumulate((b for _, b in marks), max))
 
     def meets(a: int, b: int) -> bool:
-        i = int(np.searchsorted(starts, b))
-        return any(y > a for _, y in marks[max(0, i - 4) : i])
+        i = bisect_left(starts, b)
+        return i > 0 and furthest[i - 1] > a
+
+    return meets
+
 
+def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, int, int, bool, bool]]:
+    """(start, end, pattern, instance, seed, named field) of everything that could be an identifier."""
+    meets = meeting(base)
     out, seen = [], set()
     for m in FIELD.finditer(text) if "=" in text or ":" in text else ():
         a, b = m.span(3)
@@ -189,7 +197,7 @@ def blocks(patterns: DataFrame) -> Iterator[Broadcast]:
     for block in range(n):
         known = np.sort(np.array([r[0] for r in patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(n)) == block).collect()], np.int64))
         if len(known):
-            yield patterns.sparkSession.sparkContext.broadcast(known)
+            yield share(patterns.sparkSession, known)
 
 
 def count_patterns(docs: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
@@ -271,11 +279,16 @@ def score(found: DataFrame, docs: DataFrame, text: str, rounds: int = ROUNDS, su
     return patterns
 
 
-def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
-    """key, base (array of spans), and spans (the base ones and those the method adds, by kind, then by start).
+def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", with_doc: str | None = None, **more) -> DataFrame:
+    """key, base (array of spans), and spans (the base ones and those the method adds, by kind, then by start); and with_doc, a hash of key and text, if it is named.
 
     Spans count code points, end exclusive. Null and empty texts have none. Repeated rows give repeated rows; other
     columns are not read."""
+    with scratch(docs.sparkSession) as keep:
+        return keep(_personal_data(docs, key, text, with_doc, **more))
+
+
+def _personal_data(docs: DataFrame, key: str, text: str, with_doc: str | None, **more) -> DataFrame:
     found = cut(scan(docs, key, text))
     patterns = score(found, docs, text, **more)
     spans = found.where(F.size("__found") > 0).select("__doc", F.explode("__found").alias("c")).withColumn("pattern", F.col("c.pattern")).join(patterns, "pattern").select("__doc", "c.start", "c.end")
@@ -284,7 +297,7 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", **mo
     hits = spans.join(found.select("__doc", "__base").dropDuplicates(["__doc"]), "__doc").where(~overlaps).select("__doc", F.struct(F.lit(FOUND).alias("kind"), "start", "end").alias("s"))
     added = hits.groupBy("__doc").agg(F.array_sort(F.collect_set("s")).alias("__added"))
     out = found.join(added, "__doc", "left")
-    return out.select(key, F.col("__base").alias("base"), F.concat("__base", F.coalesce("__added", F.array().cast(f"array<{SPAN}>"))).alias("spans"))
+    return out.select(*([F.col("__doc").alias(with_doc)] if with_doc else []), key, F.col("__base").alias("base"), F.concat("__base", F.coalesce("__added", F.array().cast(f"array<{SPAN}>"))).alias("spans"))
 
 
 def _string(spans: str) -> Column:
@@ -294,42 +307,67 @@ def _string(spans: str) -> Column:
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = None, **more) -> DataFrame:
     """docs with every span of personal data replaced by its kind in square brackets.
 
-    length names a column that holds the text's code points, set anew where a text changes. Null texts stay null."""
-    found = cut(scan(docs, key, text))
-    patterns = score(found, docs, text, **more)
-    rows = patterns.collect() if patterns.count() <= PATTERN_BLOCK else None
-    if rows is None:
-        raise ValueError("more sure patterns than one worker holds; raise `support`")
-    held = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["pattern"] for r in rows], np.int64)))
-    columns, at = docs.columns, docs.columns.index(text)
+    length names a column that holds the text's code points, set anew where a text changes. Null texts stay null;
+    empty tables and repeated rows are as they come; other columns pass, whatever their names. Up to PATTERN_BLOCK sure
+    patterns are broadcast and the texts pass once; of more, the spans are found by personal_data and joined."""
+    spark, columns = docs.sparkSession, docs.columns
+    rest = [c for c in columns if c != text]
+    with scratch(spark) as keep:
+        patterns = keep(score(cut(scan(docs, key, text)), docs, text, **more))
+    if patterns.count() > PATTERN_BLOCK:
+        t, k, s = spare(docs, "__text", "__row", "__spans")
+        rows = personal_data(docs.select(key, text).distinct(), key, text, **more, with_doc="__doc").select(F.col("__doc").alias(k), F.col("spans").alias(s)).dropDuplicates([k])
+        given = docs.withColumn(k, F.udf(lambda a, b: _hash(str(a), b or ""), "bigint")(key, text)).join(rows, k, "left").select(F.col(text).alias(t), *rest, s)
+        held = None
+    else:
+        given = docs.select(F.col(text).alias(spare(docs, "__text")[0]), *rest)
+        held = spark.sparkContext.broadcast(np.sort(np.array([r["pattern"] for r in patterns.collect()], np.int64)))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out, changed, words = [], [], defaultdict(list)
-        sure = set(held.value.tolist())
-        for i, x, y in behind(batch.column(at), held.value):
-            words[i].append((x, y))
-        for i, t in enumerate(batch.column(at).to_pylist()):
-            spans = base_spans(t) if t else []
-            base = len(spans)
-            if t:
-                added = [(c[0], c[1]) for c in candidates(t, spans) if c[2] in sure] + words[i]
-                spans += [(FOUND, x, y) for x, y in added if not any(a < y and b > x for _, a, b in spans[:base])]
-            parts, done = [], 0
-            for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
-                if b > done:
-                    parts += [t[done : max(a, done)], f"[{kind.upper()}]" if a >= done else ""]
-                    done = b
-            out.append("".join([*parts, t[done:]]) if parts else t)
-            changed.append(bool(parts))
-        arrays = [batch.column(i) for i in range(len(columns))]
-        arrays[at] = pa.array(out, pa.string())
-        return pa.RecordBatch.from_arrays([*arrays, pa.array(changed)], names=[*columns, "__changed"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = map_batches(docs, run, f"{kinds}, __changed boolean")
-    if length:
-        out = out.withColumn(length, F.when(F.col("__changed"), F.char_length(text).cast(docs.schema[length].dataType)).otherwise(F.col(length)))
-    return out.select(*columns)
+        if held is None:
+            spans = [[(x["kind"], x["start"], x["end"]) for x in s or ()] for s in batch.column(len(rest) + 1).to_pylist()]
+        else:
+            spans = sure_spans(batch.column(0), held.value)
+        texts = batch.column(0)
+        sizes = batch.column(1 + rest.index(length)).to_pylist() if length else []
+        if any(spans):
+            out = texts.to_pylist()
+            for i, s in enumerate(spans):
+                if s:
+                    out[i] = replaced(out[i], s)
+                    if length:
+                        sizes[i] = len(out[i])
+            texts = pa.array(out, pa.string())
+        arrays = {c: batch.column(1 + n) for n, c in enumerate(rest)} | {text: texts}
+        if length:
+            arrays[length] = pa.array(sizes, arrays[length].type)
+        return pa.RecordBatch.from_arrays([arrays[c] for c in columns], names=columns)
+
+    return map_batches(given, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+
+
+def sure_spans(column: pa.Array, sure: np.ndarray) -> list[list[tuple[str, int, int]]]:
+    """Of every text the base spans, and behind them what the sure patterns (sorted) hold outside of those."""
+    words, known = defaultdict(list), set(sure.tolist())
+    for i, x, y in behind(column, sure):
+        words[i].append((x, y))
+    out = []
+    for i, t in enumerate(column.to_pylist()):
+        base = base_spans(t) if t else []
+        added = [(c[0], c[1]) for c in candidates(t, base) if c[2] in known] + words[i] if t else []
+        meets = meeting(base)
+        out.append(base + [(FOUND, x, y) for x, y in added if not meets(x, y)])
+    return out
+
+
+def replaced(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """The text with its spans replaced by their kinds; of overlapping ones the first stands for all."""
+    parts, done = [], 0
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if b > done:
+            parts += [text[done : max(a, done)], f"[{kind.upper()}]" if a >= done else ""]
+            done = b
+    return "".join([*parts, text[done:]])
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -339,4 +377,5 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
     counts = [count(k) for k in KINDS]
-    return got.select("doc_id", *counts, F.sha2(_string("base"), 256).alias("base_sha256"), _string("spans").alias("spans"))
+    n_spans = F.size("spans").cast("bigint").alias("n_spans")
+    return got.select("doc_id", *counts, F.sha2(_string("base"), 256).alias("base_sha256"), _string("spans").alias("spans"), n_spans)
