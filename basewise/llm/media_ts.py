@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import map_batches, table
 
 PACKET, SYNC, PES_BYTES, UNIT = 188, 0x47, 32_768, 64
+#: Stream ids whose elementary packets have no header beyond the length; the one of stuffing.
+BARE, STUFFING = {0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF}, 0xBE
 #: PIDs of the writer's map table and stream, its stream type (private data in PES), and ticks (90 kHz) between units.
 MAP_PID, STREAM_PID, STREAM_TYPE, TICKS = 0x1000, 0x0100, 0x06, 3600
 
@@ -132,11 +134,13 @@ def _sections(packets: np.ndarray, begins: np.ndarray, starts: np.ndarray) -> li
 
 
 def read_stream(media: bytes) -> Stream:
-    """The first programme's elementary streams, joined in order of their PID in the map table.
+    """The elementary streams of all programmes, joined in the order of the tables.
 
     A cut last packet, packets without sync byte or marked as erroneous are counted as damaged and passed over; a
-    counter that doesn't follow counts as a gap, and the unit in which it lies as not whole; repeated packets are
-    taken once. Bytes that are no transport stream give an empty result."""
+    counter that doesn't follow counts as a gap (unless the packet says so by its discontinuity mark), and the unit in
+    which it lies as not whole, as does one of unknown length that a gap ends; repeated packets are taken once. Packets
+    before a stream's first unit begins, and units without a start code, count as damaged; stuffing units are passed
+    over. Bytes that are no transport stream give an empty result."""
     n = len(media) // PACKET
     out = Stream(packets=n, damaged=int(len(media) % PACKET > 0))
     if not n:
@@ -151,13 +155,14 @@ def read_stream(media: bytes) -> Stream:
     start = np.where(adapted, 5 + rows[:, 4].astype(np.int32), 4)
     start[(rows[:, 3] & 0x10 == 0) | (start > PACKET)] = PACKET
     marks = adapted & (rows[:, 4] > 0) & (rows[:, 5] & 0x40 > 0)
+    breaks = adapted & (rows[:, 4] > 0) & (rows[:, 5] & 0x80 > 0)
 
     def of(p: int) -> tuple:
         at = np.flatnonzero(pid == p)
         return rows[at], begins[at], start[at]
 
     maps = [s[i + 2 : i + 4] for s in _sections(*of(0)) if s[0] == 0 for i in range(8, len(s) - 7, 4) if s[i] or s[i + 1]]
-    for section in _sections(*of((maps[0][0] & 0x1F) << 8 | maps[0][1])) if maps else []:
+    for section in (s for p in dict.fromkeys((a & 0x1F) << 8 | b for a, b in maps) for s in _sections(*of(p))):
         i = 12 + ((section[10] & 0x0F) << 8 | section[11])
         while section[0] == 2 and i + 5 <= len(section) - 4:
             p = (section[i + 1] & 0x1F) << 8 | section[i + 2]
@@ -176,24 +181,28 @@ def read_stream(media: bytes) -> Stream:
             out.repeats += int(again.sum())
             at, counter = at[~again], counter[~again]
             step = (counter[1:].astype(np.int8) - counter[:-1]) & 15
-        gap = np.append(False, step != 1)
+        gap = np.append(False, step != 1) & ~breaks[at]
         out.gaps += int(gap.sum())
         sizes = PACKET - start[at]
         body = rows[at][np.arange(PACKET) >= start[at][:, None]].tobytes()
         ends = np.cumsum(sizes)
         firsts = np.flatnonzero(begins[at])
+        out.damaged += int(firsts[0]) if len(firsts) else len(at)
         for k, f in enumerate(firsts):
             until = firsts[k + 1] if k + 1 < len(firsts) else len(at)
             unit = body[ends[f] - sizes[f] : ends[until - 1]]
-            if len(unit) < 9 or unit[:3] != b"\x00\x00\x01":
+            if len(unit) < 6 or unit[:3] != b"\x00\x00\x01" or (unit[3] not in BARE and len(unit) < 9):
                 out.damaged += 1
                 continue
-            said, head, pts = int.from_bytes(unit[4:6], "big"), 9 + unit[8], None
-            if unit[7] & 0x80 and len(unit) >= 14:
+            if unit[3] == STUFFING:
+                continue
+            said, head, pts = int.from_bytes(unit[4:6], "big"), 6 if unit[3] in BARE else 9 + unit[8], None
+            if head > 6 and unit[7] & 0x80 and len(unit) >= 14:
                 b = unit[9:14]
                 pts = (b[0] & 0x0E) << 29 | b[1] << 22 | (b[2] & 0xFE) << 14 | b[3] << 7 | b[4] >> 1
             data = unit[head : 6 + said] if said else unit[head:]
-            whole = not gap[f + 1 : until].any() and (not said or len(unit) >= 6 + said)
+            # Packets lost before the next unit may be the end of one that doesn't tell its length.
+            whole = not gap[f + 1 : until].any() and (len(unit) >= 6 + said if said else not gap[until : until + 1].any())
             out.units.append((pts, sum(map(len, chunks)), len(data), bool(marks[at[f]]), whole))
             chunks.append(data)
     out.payload = b"".join(chunks)
@@ -207,7 +216,8 @@ def padded(data: bytes) -> bytes:
 def store_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes and media (a transport stream that holds the UTF-8 text, padded to a positive multiple of 64 bytes).
 
-    A null text is stored as an empty one; repeated rows give repeated rows; other columns are not read."""
+    A null text is stored as an empty one; repeated rows give repeated rows; an empty table gives no rows; other columns
+    are not read."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         data = [(t or "").encode() for t in batch.column(1).to_pylist()]
@@ -219,9 +229,11 @@ def store_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 def read_media(df: DataFrame, media: str = "media") -> DataFrame:
     """df without its media column, and with the payload that a reader gets from it, its time stamps, random access points and faults.
 
-    A null or foreign media column gives an empty payload and no time stamps."""
-    keep = [c for c in df.columns if c != media]
+    A null or foreign media column gives an empty payload and no time stamps; repeated rows give repeated rows; an empty
+    table gives no rows; columns of df that have the name of a new one are replaced."""
     more = "payload binary, media_bytes bigint, media_sha256 string, time_stamps array<bigint>, random_access array<bigint>, packets bigint, gaps bigint, damaged bigint"
+    new_names = [x.split()[0] for x in more.split(", ")]
+    keep = [c for c in df.columns if c != media and c.lower() not in new_names]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         data = [x or b"" for x in batch.column(batch.schema.get_field_index(media)).to_pylist()]
@@ -234,10 +246,10 @@ def read_media(df: DataFrame, media: str = "media") -> DataFrame:
             pa.array([[u[1] for u in s.units if u[3]] for s in got], pa.list_(pa.int64())),
             *(pa.array([getattr(s, c) for s in got], pa.int64()) for c in ("packets", "gaps", "damaged")),
         ]
-        return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), *new], names=[*keep, *(x.split()[0] for x in more.split(", "))])
+        return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), *new], names=[*keep, *new_names])
 
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return map_batches(df.select(*keep, media), run, f"{kinds}, {more}")
+    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
+    return map_batches(df.select(*keep, media), run, kinds + more)
 
 
 def digests(df: DataFrame) -> DataFrame:
