@@ -11,8 +11,13 @@
    compared gram by gram. Only links that join two components are returned, never all pairs.
 4. A family of more than CHUNK classes is dealt into chunks. Each is searched together with the family's hub (which most
    members of a group of copies resemble). Then the chunks' members of the family's largest component, and the rest
-   dealt anew, are the nodes of an upper tree: pairs of nodes of the rest and any other that pass the bounds are
-   searched, part against part.
+   dealt anew, are the leaves of an upper tree: from its top down, pairs of a node of the rest and any other that pass
+   the bounds are opened, and the pairs of leaves that are left are searched, part against part.
+
+Grams are told apart by 64 bits, classes by 128 and, where they are nodes of the graph, by 64. Two of N different classes
+share those 64 bits (and become one component wrongly) with a chance of about N * N / 2**65: 3e-8 for a million classes,
+0.03 for a billion. Two texts are compared wrongly only if different grams of theirs have the same hash (1e-13 for two
+texts of a thousand grams).
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BLANK_WORDS, cut, gram_hashes, map_batches, mix, pieces, release, small_batches, table, utf8_view, word_hashes
+from .common import BLANK_WORDS, cut, gram_hashes, map_batches, mix, pieces, release, scratch, settle, share, slices, small_batches, table, utf8_view, word_hashes
 
 GRAM, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: Sets in one search, bits of a leaf's bitmap, sets or nodes below a node.
@@ -37,6 +42,8 @@ UPPER_BITS, BROADCAST = 1 << 16, 500_000
 LOCAL, SAMPLE, FREQUENT = 2, 8000, 400_000
 #: k by size (a share of it), and turns of dropping grams and classes.
 EXTRA, TURNS = 0.1, 3
+#: A key of a join is hot if more than HOT rows have it, and more than one in HOT_KEYS: so there are HOT_KEYS of them at most.
+HOT, HOT_KEYS = 100_000, 1000
 
 
 def need(sizes: np.ndarray | int) -> np.ndarray | int:
@@ -219,6 +226,19 @@ def search(sets: list[np.ndarray], union: Union, left: list[int], right: list[in
 # -- the distributed join -----------------------------------------------------------------------------
 
 
+def hot_keys(counts: DataFrame, key: str, total: int) -> list[int]:
+    """The hot keys, of counts (key, n) that sum to total at most: no more than HOT_KEYS."""
+    return [r[0] for r in counts.where(F.col("n") > max(HOT, total // HOT_KEYS)).select(key).collect()]
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, hot: list[int], how: str) -> DataFrame:
+    """left.join(right, key, how), where right has one row for each key: rows of hot keys stay where they are, and right's come to them."""
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.col(key).isin(hot)
+    return left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how).unionByName(left.where(~is_hot).join(right.where(~is_hot), key, how))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each node reaches over edges. Rows for nodes that have edges only."""
     both = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -230,7 +250,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         tall = cut(low.select("u", F.col("m").alias("v")).unionByName(hung.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))).distinct())
         # Then paths of two become one.
         roots = tall.groupBy("u").agg(F.min("v").alias("m"))
-        short = tall.join(roots.select(F.col("u").alias("v"), "m"), "v", "left").select("u", F.coalesce("m", "v").alias("v"), F.col("v").alias("old"))
+        hot = hot_keys(tall.groupBy("v").agg(F.count(F.lit(1)).alias("n")), "v", n) if (n := tall.count()) > HOT else []
+        short = spread_join(tall, roots.select(F.col("u").alias("v"), "m"), "v", hot, "left").select("u", F.coalesce("m", "v").alias("v"), F.col("v").alias("old"))
         flat = cut(short.select("u", "v").unionByName(short.where("old != v").select(F.col("old").alias("u"), "v")).distinct())
         bad = flat.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() or flat.alias("x").join(flat.alias("y"), F.col("x.v") == F.col("y.u"), "left_semi").limit(1).count()
         if not bad:
@@ -257,7 +278,8 @@ def _frequent(docs: DataFrame, text: str) -> DataFrame:
             some = n >= LOCAL
             return pa.RecordBatch.from_arrays([pa.array(grams[first[some]].astype(np.int64)), pa.array(n[some])], names=["gram", "n"])
 
-        for batch in batches:
+        settle()
+        for batch in (x for y in batches for x in slices(y)):
             data, offsets = utf8_view(batch.column(0))
             for a, b in pieces(offsets):
                 sets = gram_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
@@ -289,7 +311,7 @@ def _prefixes(docs: DataFrame, text: str, frequent: DataFrame) -> DataFrame:
     got = frequent.toArrow()
     grams = got["gram"].to_numpy().astype(np.uint64)
     order = np.argsort(grams)
-    held = docs.sparkSession.sparkContext.broadcast((grams[order], got["n"].to_numpy()[order]))
+    held = share(docs.sparkSession, (grams[order], got["n"].to_numpy()[order]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         known, counts = held.value
@@ -326,9 +348,10 @@ def _families(prefixes: DataFrame) -> DataFrame:
     rows = cut(met.where("often or low != high").select("gram", "cls", "least").distinct())
     for _ in range(TURNS):
         enough = rows.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least")).where("n >= least").select("cls")
-        kept = rows.join(enough, "cls", "left_semi")
-        several = kept.groupBy("gram").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).where("hub != last").select("gram", "hub")
-        rows = cut(kept.join(several, "gram"))
+        kept = cut(rows.join(enough, "cls", "left_semi"))
+        several = kept.groupBy("gram").agg(F.min("cls").alias("hub"), F.max("cls").alias("last"), F.count(F.lit(1)).alias("n")).where("hub != last")
+        hot = hot_keys(several, "gram", n) if (n := kept.count()) > HOT else []
+        rows = cut(spread_join(kept, several.select("gram", "hub"), "gram", hot, "inner"))
         stars = rows.where("cls != hub").select("cls", "hub").distinct()
         rows = rows.drop("hub")
     return components(stars, "cls", "hub")
@@ -348,6 +371,7 @@ def _read_sets(texts: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
 
 def _inside(t: pa.Table) -> pa.Table:
     """Links inside one chunk of a family."""
+    settle()
     cls, sets = t["cls"].to_numpy(), _read_sets(t["text"])
     links = search(sets, Union(len(sets)), list(range(len(sets)))) if len(sets) > 1 else []
     fam = t["fam"][0].as_py()
@@ -355,7 +379,8 @@ def _inside(t: pa.Table) -> pa.Table:
 
 
 def _node(t: pa.Table) -> pa.Table:
-    """A part of a family as a node of the upper tree."""
+    """A part of a family as a leaf of the upper tree."""
+    settle()
     sets = _read_sets(t["text"])
     maps = np.stack([bitmap(s, UPPER_BITS) for s in sets])
     sizes = np.array([len(s) for s in sets])
@@ -363,8 +388,15 @@ def _node(t: pa.Table) -> pa.Table:
     return pa.table([t["fam"][:1], t["rest"][:1], t["part"][:1], pa.array([np.bitwise_or.reduce(maps).tobytes()], pa.binary()), pa.array([int(sizes.min())], pa.int64()), pa.array([int(sizes.max())], pa.int64()), pa.array([hidden], pa.int64())], names=["fam", "rest", "part", "bits", "low", "high", "hidden"])
 
 
+def _above(t: pa.Table) -> pa.Table:
+    """Nodes of the upper tree as one node of the level above."""
+    maps = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(len(t), -1)
+    return pa.table([t["fam"][:1], t["rest"][:1], t["part"][:1], pa.array([np.bitwise_or.reduce(maps).tobytes()], pa.binary()), *(pa.array([f(t[c].to_numpy())], pa.int64()) for c, f in (("low", min), ("high", max), ("hidden", max)))], names=t.column_names)
+
+
 def _between(t: pa.Table) -> pa.Table:
     """Links between two parts (or inside one) that join components."""
+    settle()
     cls, comp, side, sets = t["cls"].to_numpy(), t["comp"].to_numpy(), t["side"].to_numpy(), _read_sets(t["text"])
     union, first = Union(len(sets)), {}
     for i, c in enumerate(comp.tolist()):
@@ -397,7 +429,10 @@ def _links(texts: DataFrame, chunk: int) -> DataFrame:
     dealt = F.pmod(F.xxhash64("cls", F.lit(1)), F.expr(f"cast(ceil(others / {chunk // 2}) as bigint)"))
     parts = cut(known.join(tops, "fam").select("fam", "cls", "text", "comp", rest.cast("int").alias("rest"), F.when(rest, dealt).otherwise(F.col("part").cast("bigint")).alias("part")))
     # The upper tree: of each two nodes one holds others than the largest component.
-    nodes = cut(parts.groupBy("fam", "rest", "part").applyInArrow(_node, "fam bigint, rest int, part bigint, bits binary, low bigint, high bigint, hidden bigint"))
+    schema = "fam bigint, rest int, part bigint, bits binary, low bigint, high bigint, hidden bigint"
+    levels = [cut(parts.groupBy("fam", "rest", "part").applyInArrow(_node, schema))]
+    while levels[-1].agg(F.max("part")).first()[0] >= FAN:
+        levels.append(cut(levels[-1].withColumn("part", F.expr(f"part div {FAN}")).groupBy("fam", "rest", "part").applyInArrow(_above, schema)))
 
     def fits(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         rows = batch.to_pydict()
@@ -406,10 +441,18 @@ def _links(texts: DataFrame, chunk: int) -> DataFrame:
         good = pa.array(possible(node[0], at, node[1], at))
         return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).filter(good) for c in ("fam", "rest", "part", "rest2", "part2")], names=["fam", "rest", "part", "rest2", "part2"])
 
-    second = nodes.select("fam", *(F.col(c).alias(c + "2") for c in ("rest", "part", "bits", "low", "high", "hidden")))
     sizes_fit = (DENOMINATOR * F.col("high") >= NUMERATOR * F.col("low2")) & (DENOMINATOR * F.col("high2") >= NUMERATOR * F.col("low"))
-    pairs = nodes.where("rest = 1").join(second, "fam").where(((F.col("rest2") == 0) | (F.col("part") <= F.col("part2"))) & sizes_fit)
-    pairs = cut(map_batches(pairs, fits, "fam bigint, rest int, part bigint, rest2 int, part2 bigint"))
+    pairs = None
+    for nodes in reversed(levels):
+        second = nodes.select("fam", *(F.col(c).alias(c + "2") for c in ("rest", "part", "bits", "low", "high", "hidden")))
+        if pairs is None:
+            opened = nodes.where("rest = 1").join(second, "fam")
+        else:
+            above = pairs.select("fam", "rest2", F.col("part").alias("above"), F.col("part2").alias("above2"))
+            opened = above.join(nodes.where("rest = 1").withColumn("above", F.expr(f"part div {FAN}")), ["fam", "above"])
+            opened = opened.join(second.withColumn("above2", F.expr(f"part2 div {FAN}")), ["fam", "rest2", "above2"]).drop("above", "above2")
+        opened = opened.where(((F.col("rest2") == 0) | (F.col("part") <= F.col("part2"))) & sizes_fit)
+        pairs = cut(map_batches(opened, fits, "fam bigint, rest int, part bigint, rest2 int, part2 bigint"))
     columns = ["fam", "part", "rest2", "part2", "cls", "comp", "text", "side"]
     one = pairs.join(parts, ["fam", "rest", "part"]).withColumn("side", F.lit(0)).select(columns)
     other = parts.select("fam", F.col("rest").alias("rest2"), F.col("part").alias("part2"), "cls", "comp", "text")
@@ -421,8 +464,13 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk
     """key, n_shingles and component_id (the smallest key that is reachable by links) of every row.
 
     A text without words, or null, has no grams and is linked with nothing: its component is its own key. Texts with
-    the same set of grams are linked. Rows with the same key count as one text each; other columns are not read.
-    key must be a whole number."""
+    the same set of grams are linked. Rows with the same key count as one text each; an empty table gives no rows; other
+    columns are not read. key must be a whole number."""
+    with scratch(docs.sparkSession) as keep:
+        return keep(_joined(docs, key, text, chunk))
+
+
+def _joined(docs: DataFrame, key: str, text: str, chunk: int) -> DataFrame:
 
     def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = _read_sets(batch.column(1))
