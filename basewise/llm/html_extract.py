@@ -166,7 +166,8 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame, key: str = "page_id", html: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """key, the columns keep, text and n_chars of every page.
 
-    A null or empty page has an empty text; repeated rows give repeated rows; other columns are not read."""
+    A null or empty page has an empty text; repeated rows give repeated rows; an empty table gives no rows; other
+    columns are not read."""
     names = [key, *keep]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

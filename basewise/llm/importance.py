@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK_WORDS, cut, gram_hashes, map_batches, pieces, small_batches, table, utf8_view, word_hashes
+from .common import BLANK_WORDS, cut, gram_hashes, map_batches, pieces, scratch, settle, slices, small_batches, table, utf8_view, word_hashes
 
 BUCKETS, SMOOTH, FRACTION, SEED = 10_000, 1.0, 0.5, 17
 #: Labelled rows that the target model is fitted on, at most (a pseudorandom sample of them).
@@ -34,8 +34,9 @@ def models(docs: DataFrame, target: str, text: str = "text") -> np.ndarray:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         total = np.zeros((2, BUCKETS), np.int64)
-        for batch in batches:
+        for batch in (x for y in batches for x in slices(y)):
             chosen = np.array([bool(x) for x in batch.column(1).to_pylist()])
             data, offsets = utf8_view(batch.column(0))
             for a, b in pieces(offsets):
@@ -106,7 +107,8 @@ def resample(docs: DataFrame, target: str, fraction: float = FRACTION, key: str
 
     target names a boolean column (null: not a target). Null and empty texts weigh 0. Equal noisy weights (repeated
     rows) are told apart by nothing: all rows equal to the last one selected are selected too."""
-    got = cut(weigh(docs, models(docs, target, text), key, text, seed))
+    with scratch(docs.sparkSession) as keep:
+        got = keep(weigh(docs, models(docs, target, text), key, text, seed))
     k = round(got.count() * fraction)
     last = kth_largest(got, "noisy", k, "__h")
     chosen: Column = F.lit(False) if last is None else (F.col("noisy") > last[0]) | ((F.col("noisy") == last[0]) & (F.col("__h") >= last[1]))

@@ -10,9 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from basewise.llm import decontaminate, language_id, mixing, ngram_join, pii
-from basewise.llm.common import cut, table
+from basewise.llm.common import cut, scratch, spare, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,13 +22,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The model is learned from the documents' own lang, without the held-out quarter."""
     names, model = language_id.train(docs.where(~language_id.held_out(F.coalesce("doc_id", F.lit(0)))))
     found = language_id.identify(docs, names, model, pred="__pred", score="__score", mixture="__mixture")
-    told = found.where("__pred != 'und'") if names else docs.where(F.col("text").rlike(r"\p{L}")).withColumn("__pred", F.lit(None).cast("string"))
+    told = found.where("__pred != 'und'") if names else docs.where(F.udf(language_id.has_letter, "boolean")(F.coalesce("text", F.lit("")))).withColumn("__pred", F.lit(None).cast("string"))
     return told.withColumn("lang", F.coalesce("lang", "__pred")).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of exact and near copies, the document with the smallest doc_id; repeated rows become one."""
-    got = cut(ngram_join.jaccard_join(docs))
+    got = ngram_join.jaccard_join(docs)
     dropped = got.where("component_id != doc_id").select("doc_id").distinct()
     left = docs.join(F.broadcast(dropped) if dropped.count() <= ngram_join.BROADCAST else dropped, "doc_id", "left_anti")
     repeated = got.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
@@ -47,8 +48,14 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
-    return mixing.mix_sources(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
+    """The documents as they are now, with how many of their words the mix takes (repeats counted).
+
+    mixing.mix_blocks gives the same mix as shards of blocks of words."""
+    columns = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    h, r = spare(docs, "__h", "__r")
+    got = mixing.mix_sources(docs, with_hash=h).select(h, "size", "source_size", "target", "taken").withColumn(r, F.row_number().over(Window.partitionBy(h).orderBy("taken")))
+    rows = docs.select(*columns, mixing.row_hash("doc_id", "text").alias(h)).withColumn(r, F.row_number().over(Window.partitionBy(h).orderBy(h)))
+    return rows.join(got, [h, r]).drop(h, r)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -64,7 +71,8 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with scratch(spark) as keep:
+        docs = table(spark, sf_dir, "documents")
+        for _, stage in STAGES[:-1]:
+            docs = cut(stage(spark, docs, sf_dir))
+        return keep(STAGES[-1][1](spark, docs, sf_dir))

@@ -9,7 +9,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from basewise.llm import decontaminate, html_extract, importance, language_id, media_ts, mixing, ngram_join, pii, token_counts, toxicity
 from basewise.llm.common import ALNUM_WORDS, BLANK_WORDS, utf8_view, word_hashes
@@ -38,8 +40,6 @@ BLANK, ALNUM = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def test_word_hashes_find_words():
-    import pyarrow as pa
-
     texts = ["Ab c-d  é9", "", "ab", None, "\x85x\xa0y a"]
     data, offsets = utf8_view(pa.array(texts))
     for table, pattern in ((BLANK_WORDS, BLANK), (ALNUM_WORDS, ALNUM)):
@@ -71,7 +71,22 @@ def test_token_counts_equal_the_library(encoder):
             t = "".join(c for c in t if c < "̀").replace("<|", "")
         n = len(encoder.tokenizer.encode(t, add_special_tokens=False).ids)
         assert encoder.counts([t]) == [n]
-        assert token_counts.count_long(t, encoder, rng.choice([4, 8, 16]), rng.choice([1, 2, 4])) == n
+        assert token_counts.count_long(t, encoder, rng.choice([4, 8, 16]), rng.choice([1, 2, 4]))[0] == n
+
+
+def test_letters_below_300_next_to_each_other(encoder):
+    letters = [chr(c) for c in range(0x300) if chr(c).isalpha()]
+    texts = [a + b for a in ("\u0130", "\u023a", "\u023e", "a", "\xe2", "7") for b in letters] + [b + "x 1" for b in letters]
+    library = [len(e.ids) for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.counts(texts) == library
+
+
+def test_long_texts_go_through_chunks(spark, encoder):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["word ", "Sp\xe9cial, ", "x", "\n\n", "12 ", "\U0001f600"]) for _ in range(n)) for n in (10, 3000, 9000)] + ["y" * 20_000]
+    got = token_counts.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r["n_tokens"] for r in sorted(got)] == [len(encoder.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert [r["n_chunks"] > 1 for r in sorted(got)] == [len(t) > token_counts.CHUNK for t in texts] and max(r["n_chunks"] for r in got) > 2
 
 
 def test_splice_needs_a_proven_boundary():
@@ -161,6 +176,48 @@ def test_language_em_is_the_likelihood_of_its_segments(trained):
     assert np.allclose(share.sum(1), 1)
 
 
+def test_language_em_equals_a_plain_one():
+    """Shares and chosen set, against expectation-maximisation written out for one text at a time."""
+    rng = np.random.default_rng(3)
+    model = np.log(rng.dirichlet(np.full(language_id.BUCKETS, 0.01), 3) + 1e-9)
+    model = np.column_stack((model, np.zeros(3))).astype(np.float32)
+    texts = [" ".join("".join(rng.choice(list("abcdefg"), 5)) for _ in range(n)) for n in (3, 40, 200)]
+
+    def plain(text):
+        data, offsets = utf8_view(pa.array([text]))
+        grams, _ = language_id.trigrams(data, offsets)
+        parts = [grams[i : i + language_id.SEGMENT] for i in range(0, len(grams), language_id.SEGMENT)]
+        like = np.array([[float(sum(model[k, g] for g in p)) * language_id.TEMPER for k in range(3)] for p in parts])
+
+        def em(share):
+            last = -np.inf
+            while True:
+                joint = np.exp(like - like.max(1, keepdims=True)) * share
+                now = sum(np.log(j.sum()) + t for j, t in zip(joint, like.max(1), strict=True))
+                if now <= last + language_id.TOLERANCE:
+                    return share, now
+                last, share = now, (joint / joint.sum(1, keepdims=True)).mean(0)
+
+        order = np.argsort(-em(np.full(3, 1 / 3))[0], kind="stable")
+        best, value = np.eye(3)[like.sum(0).argmax()], like.sum(0).max()
+        for k in (2, 3):
+            share, now = em(np.isin(np.arange(3), order[:k]) / k)
+            if now - value <= language_id.PENALTY * np.log(len(parts) + 1):
+                break
+            best, value = share, now
+        return best
+
+    data, offsets = utf8_view(pa.array(texts))
+    assert language_id.mixtures(data, offsets, model) == pytest.approx(np.array([plain(t) for t in texts]), abs=1e-3)
+
+
+def test_numbers_are_no_letters(spark, trained):
+    docs = spark.createDataFrame([(1, "\xb2\xbd \u2460 \u2167", 0.5, "m"), (2, "a\xb2", 0.5, "m"), (3, "12 _", 0.5, "m")], "doc_id long, text string, score double, mixture string")
+    got = language_id.identify(docs, *trained).collect()
+    assert [r["lang_pred"] == "und" for r in got] == [False if r["doc_id"] == 2 else not language_id.has_letter(r["text"]) for r in got]
+    assert not language_id.has_letter("\xb2\xbd \u2460") and docs.columns[:2] == ["doc_id", "text"]
+
+
 def test_language_odd_rows(odd, empty, spark, trained):
     got = {r["n"]: r for r in language_id.identify(odd, *trained).collect()}
     assert [got[i]["lang_pred"] for i in range(4)] == ["und"] * 4 and got[0]["score"] == 0
@@ -287,6 +344,26 @@ def test_personal_data_odd_rows(odd, empty):
     assert pii.personal_data(odd).count() == 9 and pii.personal_data(empty).count() == 0
 
 
+def test_redact_beyond_one_block_of_patterns(spark, monkeypatch):
+    rows = [(i, t and t.replace("token", "secret"), 1) for i, t in bootstrapped()] + [(1000 + i, t, 2) for i, t in bootstrapped()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __row int")
+    one = sorted(map(str, pii.redact(docs).collect()))
+    assert sum("[SECRET]" in x for x in one) > 40
+    monkeypatch.setattr(pii, "PATTERN_BLOCK", 1)
+    assert sorted(map(str, pii.redact(docs).collect())) == one
+
+
+def test_spans_meet_whatever_their_number():
+    rng = random.Random(6)
+    for _ in range(50):
+        base = [("ip", a, a + rng.randint(1, 30)) for a in (rng.randint(0, 300) for _ in range(rng.randint(0, 12)))]
+        meets = pii.meeting(base)
+        for _ in range(50):
+            a = rng.randint(0, 330)
+            b = a + rng.randint(1, 20)
+            assert meets(a, b) == any(x < b and y > a for _, x, y in base)
+
+
 def test_pattern_blocks_give_the_same(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"a b c{i % 3} a b") for i in range(30)], "doc_id long, text string")
     keys = [pii._bigram(x) for x in ("a b", "b c1", "zz top")]
@@ -326,6 +403,30 @@ def test_stream_faults():
     assert media_ts.read_stream(bytes(broken) + b"".join(packets[1:])).payload == b""
 
 
+def test_lost_end_of_a_unit_without_length():
+    payload = random.Random(9).randbytes(60_000)
+    media = bytearray(media_ts.write_stream(payload))
+    packets = [media[i : i + 188] for i in range(0, len(media), 188)]
+    begins = [i for i, p in enumerate(packets) if p[1] & 0x40 and i > 1]
+    at = bytes(packets[begins[0]]).index(b"\x00\x00\x01\xbd")
+    packets[begins[0]][at + 4 : at + 6] = b"\x00\x00"
+    whole = media_ts.read_stream(b"".join(packets))
+    assert whole.payload == payload and all(u[4] for u in whole.units)
+    lost = media_ts.read_stream(b"".join(packets[: begins[1] - 3] + packets[begins[1] :]))
+    assert not lost.units[0][4] and lost.units[1][4] and lost.gaps == 1
+    late = media_ts.read_stream(b"".join(packets[:2] + packets[begins[1] - 3 :]))
+    assert late.damaged == 3 and len(late.units) == 1
+    # A packet may say that its counter doesn't follow.
+    packets[begins[1]][5] |= 0x80
+    marked = media_ts.read_stream(b"".join(packets[: begins[1] - 3] + packets[begins[1] :]))
+    assert marked.gaps == 0
+
+
+def test_media_columns_are_replaced(spark):
+    df = spark.createDataFrame([(1, "x")], "doc_id long, payload string").withColumn("media", F.lit(media_ts.write_stream(b"abc")))
+    assert media_ts.read_media(df).first()["payload"] == b"abc"
+
+
 def test_media_query(odd, empty):
     got = {r["n"]: r for r in media_ts.digests(media_ts.read_media(media_ts.store_media(odd, "n")).withColumnRenamed("n", "doc_id")).withColumnRenamed("doc_id", "n").collect()}
     for i, (_, text, *_) in enumerate(ODD):
@@ -448,6 +549,25 @@ def test_mix_equals_brute_force(spark):
         assert g.taken.sum() == times[:size].sum()
 
 
+def test_blocks_hold_what_is_taken(spark):
+    """Every document's words, counted in the blocks; and every block's words, against the documents."""
+    rng = random.Random(14)
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(rng.choice([0, 3, 20, 150]))), rng.choice(["a", "a", "b", None])) for i in range(80)] + [(900, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("block", F.lit("clash"))
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix_sources(docs, block=16, shard=8).collect()}
+    got = mixing.mix_blocks(docs, block=16, shard=8).collect()
+    seen, of = Counter(), {i: (s, set(t.split())) for i, t, s in rows if t}
+    for r in got:
+        held = r["text"].split()
+        seen.update(int(w[1:].split("w")[0]) for w in held)
+        assert len(held) == r["words"] <= 16 and {int(w[1:].split("w")[0]) for w in held} == set(r["keys"]) and all(of[k][0] == r["source"] for k in r["keys"])
+    assert {k: n for k, n in taken.items() if n} == dict(seen)
+    shards = Counter()
+    for r in got:
+        shards[r["shard"]] += 1
+    assert set(shards.values()) - {8} == ({len(got) % 8} if len(got) % 8 else set())
+
+
 def test_mix_odd_rows(odd, empty):
     got = mixing.mix_sources(odd).collect()
     assert len(got) == 9 and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
@@ -479,6 +599,33 @@ def test_toxicity(spark):
     assert (np.diff(model[2]) > 0).all()
 
 
+def test_likelihood_and_gradient():
+    rng = np.random.default_rng(12)
+    row, column = rng.integers(0, 30, 80), rng.integers(0, 6, 80)
+    pair = np.unique(row * 6 + column)
+    row, column, grade = pair // 6, pair % 6, rng.integers(0, toxicity.GRADES + 1, 30)
+    x = rng.normal(size=6 + toxicity.GRADES)
+    value, gradient = toxicity.likelihood(x, row, column, grade, 6)
+    t = toxicity._thresholds(x[6:])
+    plain = 0.0
+    for i in range(30):
+        score = sum(x[c] for r, c in zip(row, column, strict=True) if r == i)
+        above = [1.0, *(1 / (1 + np.exp(v - score)) for v in t), 0.0]
+        plain += np.log(above[grade[i]] - above[grade[i] + 1]) / 30
+    assert value == pytest.approx(plain - toxicity.RIDGE / 2 * (x[:6] ** 2).sum())
+    for k in range(len(x)):
+        step = np.eye(len(x))[k] * 1e-5
+        rise = toxicity.likelihood(x + step, row, column, grade, 6)[0] - toxicity.likelihood(x - step, row, column, grade, 6)[0]
+        assert gradient[k] == pytest.approx(rise / 2e-5, abs=1e-6)
+
+
+def test_grades_come_from_labels(spark):
+    docs = spark.createDataFrame([(i, f"t{i} {'vile' if i % 3 else 'fine'} {'rotten' if i % 3 == 2 else ''}") for i in range(900)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 3 < 2)) for i in range(900)], "doc_id long, toxic int, quality int")
+    got = toxicity.grade(docs, toxicity.fit(docs, labels)).collect()
+    assert all(r["grade"] == r["doc_id"] % 3 for r in got)
+
+
 def test_toxicity_without_labels(odd, empty, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.grade(odd, toxicity.fit(odd, none)).collect()
@@ -527,8 +674,11 @@ def copies():
     return rows
 
 
-@pytest.mark.parametrize("chunk", [512, 16])
-def test_join_equals_brute_force(spark, chunk):
+@pytest.mark.parametrize(("chunk", "hot", "fan"), [(512, 100_000, 8), (16, 100_000, 8), (8, 3, 2)])
+def test_join_equals_brute_force(spark, chunk, hot, fan, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "HOT_KEYS", 10**6)
+    monkeypatch.setattr(ngram_join, "FAN", fan)
     rows = copies()
     got = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), chunk=chunk)
     assert sorted(map(tuple, got.collect())) == plain_links(rows)
