@@ -17,21 +17,21 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows and bytes that one Arrow batch may hold, so that a batch of long texts stays small; one longer row is a batch of its own.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: Bytes of text that the array code handles at a time; one longer text makes a piece of its own.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 _settled = False
 
 
 def settle() -> None:
-    """Once in a worker: arrays come from the system in blocks of their own, so that freed ones go back at once."""
+    """Once in a worker: large arrays come from the system in blocks of their own and go back at once; smaller ones are used again."""
     global _settled
     if not _settled:
         _settled = True
         pa.set_memory_pool(pa.system_memory_pool())
         try:
             libc = ctypes.CDLL(None)
-            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: fixed, else it grows with the blocks that are freed
-            libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+            libc.mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD: fixed, else it grows with the blocks that are freed
+            libc.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
             libc.mallopt(-8, 2)  # M_ARENA_MAX
         except AttributeError:  # another C library
             pass

@@ -1,8 +1,8 @@
 """Token counts by overlap resynchronisation.
 
-A text longer than CHUNK code points is encoded as overlapping chunks with offsets. Two neighbouring chunks are
-spliced at a boundary that is *common* (both encodings have a token that starts there, and the last token before it
-ends there or earlier in both) and *proven stable* (the character before it is white space, which no token, added
+A text longer than CHUNK code points is encoded as overlapping chunks with offsets, of tokens, or of words with the number
+of their tokens. Two neighbouring chunks are spliced at a boundary that is *common* (both encodings have a token or word
+that starts there, and the last one before it ends there or earlier in both) and *proven stable* (the character before it is white space, which no token, added
 token or normalisation step of the tokenizer crosses). Where an overlap has no such boundary, it is widened, up to the
 rest of the text, where the encoding is the whole text's own.
 
@@ -80,11 +80,14 @@ class Encoder:
         splits = [x["pattern"].get("Regex") for x in steps if x["type"] == "Split"]
         marks = all(x["content"].startswith("<|") for x in told["added_tokens"])
         self.words = Words(self.tokenizer) if [x["type"] for x in steps] == WORD_STEPS and splits == [WORD_SPLIT] and marks and not told["post_processor"] else None
-        self.find = plain_split().findall
+        self.split = plain_split().findall
+        self.find = plain_split().finditer
 
-    def offsets(self, text: str) -> list[tuple[int, int]]:
-        """Start and end of every token of text."""
-        return self.tokenizer.encode(text, add_special_tokens=False).offsets
+    def offsets(self, text: str) -> list[tuple[int, int, int]]:
+        """Start and end of every word that the first steps make of text, with the number of its tokens; of every token, where they aren't plain."""
+        if self.words is not None and PLAIN.search(text) is None and len(low := text.lower()) == len(text):
+            return [(m.start(), m.end(), self.words[m[0]]) for m in self.find(low)]
+        return [(s, e, 1) for s, e in self.tokenizer.encode(text, add_special_tokens=False).offsets]
 
     def counts(self, texts: list[str]) -> list[int]:
         out = [-1] * len(texts)
@@ -92,7 +95,7 @@ class Encoder:
             count = self.words.__getitem__
             for i, t in enumerate(texts):
                 if PLAIN.search(t) is None:
-                    out[i] = sum(map(count, self.find(t.lower())))
+                    out[i] = sum(map(count, self.split(t.lower())))
         if rest := [i for i, n in enumerate(out) if n < 0]:
             for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
                 out[i] = len(e.ids)
@@ -112,16 +115,16 @@ def encoder(vocabulary: str) -> Encoder:
     return _encoders[vocabulary]
 
 
-def splice(left: list[tuple[int, int]], right: list[tuple[int, int]], text: str, low: int) -> tuple[int, int] | None:
-    """Tokens of left to keep, and tokens of right to drop, at the first proven common boundary at or after low; None if there is none.
+def splice(left: list[tuple[int, int, int]], right: list[tuple[int, int, int]], text: str, low: int) -> tuple[int, int] | None:
+    """Entries of left to keep, and entries of right to drop, at the first proven common boundary at or after low; None if there is none.
 
-    right must come from a chunk that begins at low. The boundary is the start of a token in both, and both agree on
-    the token there."""
-    starts = {s: i for i, (s, _) in enumerate(right)}
-    for i in range(bisect_left(left, (low, low)), len(left)):
-        s, e = left[i]
+    right must come from a chunk that begins at low. The boundary is the start of an entry (a token, or a word with all
+    its tokens) in both, and both agree on it."""
+    starts = {s: i for i, (s, _, _) in enumerate(right)}
+    for i in range(bisect_left(left, (low, low, 0)), len(left)):
+        s, e, n = left[i]
         j = starts.get(s)
-        if j is not None and s > low and BLANK.match(text, s - 1) and right[j][1] == e and (i == 0 or left[i - 1][1] <= s) and (j == 0 or right[j - 1][1] <= s):
+        if j is not None and s > low and BLANK.match(text, s - 1) and right[j][1:] == (e, n) and (i == 0 or left[i - 1][1] <= s) and (j == 0 or right[j - 1][1] <= s):
             return i, j
     return None
 
@@ -133,16 +136,16 @@ def count_long(text: str, encoder: Encoder, chunk: int = CHUNK, overlap: int = O
     while end < len(text):
         low = max(begin, end - width)
         stop = min(len(text), low + max(chunk, 2 * width))
-        right = [(s + low, e + low) for s, e in encoder.offsets(text[low:stop])]
+        right = [(s + low, e + low, n) for s, e, n in encoder.offsets(text[low:stop])]
         chunks += 1
         if at := splice(left, right, text, low):
-            total += at[0]
+            total += sum(x[2] for x in left[: at[0]])
             left, begin, end, width = right[at[1] :], right[at[1]][0], stop, overlap
         elif low > begin:
             width *= 4
         else:  # the overlap is the whole left chunk, and right the same chunk made longer
             left, end, width = right, stop, 4 * width
-    return total + len(left), chunks
+    return total + sum(x[2] for x in left), chunks
 
 
 def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, limit: int = LIMIT, chunk: int = CHUNK) -> DataFrame:

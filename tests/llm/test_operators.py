@@ -90,8 +90,9 @@ def test_long_texts_go_through_chunks(spark, encoder):
 
 
 def test_splice_needs_a_proven_boundary():
-    assert token_counts.splice([(0, 2), (2, 4)], [(0, 2), (2, 4)], "abcd", 0) is None
-    assert token_counts.splice([(0, 2), (3, 5)], [(1, 2), (3, 5)], "ab cd", 1) == (1, 1)
+    assert token_counts.splice([(0, 2, 1), (2, 4, 1)], [(0, 2, 1), (2, 4, 1)], "abcd", 0) is None
+    assert token_counts.splice([(0, 2, 1), (3, 5, 2)], [(1, 2, 1), (3, 5, 2)], "ab cd", 1) == (1, 1)
+    assert token_counts.splice([(0, 2, 1), (3, 5, 2)], [(1, 2, 1), (3, 5, 3)], "ab cd", 1) is None
 
 
 def test_token_counts_odd_rows(odd, empty):
