@@ -20,6 +20,9 @@ CHANGES = {
     1: {}, 2: {"AGA": "*", "AGG": "*", "ATA": "M", "TGA": "W"}, 3: {"ATA": "M", "CTT": "T", "CTC": "T", "CTA": "T", "CTG": "T", "TGA": "W"}, 4: {"TGA": "W"},
     5: {"AGA": "S", "AGG": "S", "ATA": "M", "TGA": "W"}, 6: {"TAA": "Q", "TAG": "Q"}, 9: {"AAA": "N", "AGA": "S", "AGG": "S", "TGA": "W"}, 10: {"TGA": "C"}, 11: {}, 12: {"CTG": "S"},
     13: {"AGA": "G", "AGG": "G", "ATA": "M", "TGA": "W"}, 14: {"AAA": "N", "AGA": "S", "AGG": "S", "TAA": "Y", "TGA": "W"}, 15: {"TAG": "Q"}, 16: {"TAG": "L"},
+    21: {"AAA": "N", "AGA": "S", "AGG": "S", "ATA": "M", "TGA": "W"}, 22: {"TAG": "L", "TCA": "*"}, 23: {"TTA": "*"}, 24: {"AGA": "S", "AGG": "K", "TGA": "W"}, 25: {"TGA": "G"}, 26: {"CTG": "A"},
+    27: {"TAA": "Q", "TAG": "Q", "TGA": "W"}, 28: {"TAA": "Q", "TAG": "Q", "TGA": "W"}, 29: {"TAA": "Y", "TAG": "Y"}, 30: {"TAA": "E", "TAG": "E"}, 31: {"TAA": "E", "TAG": "E", "TGA": "W"},
+    32: {"TAG": "W"}, 33: {"AGA": "S", "AGG": "K", "TAA": "Y", "TGA": "W"},
 }
 THREE = dict(zip("ARNDCQEGHILKMFPSTWYV*", "Ala Arg Asn Asp Cys Gln Glu Gly His Ile Leu Lys Met Phe Pro Ser Thr Trp Tyr Val Stp".split(), strict=True))
 
@@ -47,8 +50,11 @@ def to_dna(x: Column) -> Column:
 
 
 def genetic_code(table: int = 1) -> dict[str, str]:
+    """Amino acid by codon in a numbered table; numbers that no table has (7, 8, 17 to 20) are refused."""
+    if table not in CHANGES:
+        raise ValueError(f"no genetic code {table}")
     codes = {"".join(c): a for c, a in zip(product(BASES, repeat=3), STANDARD, strict=True)}
-    return codes | CHANGES.get(table, {})
+    return codes | CHANGES[table]
 
 
 def windows(x: Column, k: int, step: int = 1) -> Column:

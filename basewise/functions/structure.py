@@ -258,3 +258,13 @@ def pair_metrics(reference: DataFrame, predicted: DataFrame, lengths: DataFrame)
     fmi = share(F.col("c"), F.sqrt(F.col("nr") * F.col("np")))
     open_ = (F.col("length") - F.col("bases")) / F.col("length")
     return got.select("id", share(F.col("c"), F.col("np")).alias("ppv"), share(F.col("c"), F.col("nr")).alias("sensitivity"), fmi.alias("fmi"), (open_ + (1 - open_) * fmi).alias("mfmi"))
+
+
+def pair_distance(a: Column, b: Column) -> Column:
+    """Bases that the two structures don't treat alike: paired in either, but not in a pair that both have."""
+
+    def bases(p: Column) -> Column:
+        return F.flatten(F.transform(p, lambda x: F.array(x["i"], x["j"])))
+
+    p, q = _pairs(a), _pairs(b)
+    return F.size(F.array_union(bases(p), bases(q))) - 2 * F.size(F.array_intersect(p, q))

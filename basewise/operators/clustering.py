@@ -139,18 +139,30 @@ def cluster_chimeras(points: list[Chimera], batch: int = 1000, rounds: int = 20,
     return [up[q] for q in labels]
 
 
-def clustered(chimeras: DataFrame, chunk: int = 100_000, batch: int = 1000) -> DataFrame:
-    """Chimeras (id, start1, end1, start2, end2) with their cluster's number by transcript and stretch of chunk positions.
+def islands(df: DataFrame, start: str, end: str, by: list[str], name: str) -> DataFrame:
+    """df with the number of the island (a run of intervals that overlap one after the other) of each row, in each group of by."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    w = Window.partitionBy(*by).orderBy(start, end)
+    begins = F.coalesce(F.col(start) > F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    return df.withColumn(name, begins.cast("bigint")).withColumn(name, F.sum(name).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def clustered(chimeras: DataFrame, batch: int = 1000) -> DataFrame:
+    """Chimeras (id, start1, end1, start2, end2) with their island and their cluster's number in it.
 
-    Stretches keep a hot transcript from being one group; chimeras of different stretches seldom overlap."""
+    Chimeras of one cluster overlap at both halves, so they lie in one island of first halves, and inside it in one of
+    second halves: islands are clustered apart from each other without losing a cluster."""
     from pyspark.sql import functions as F
 
     names = ["id", "start1", "end1", "start2", "end2"]
-    keyed = chimeras.select(*names, F.expr(f"cast(start1 div {chunk} as bigint)").alias("stretch"))
+    keyed = islands(islands(chimeras.select(*names), "start1", "end1", ["id"], "first"), "start2", "end2", ["id", "first"], "second")
+    keyed = keyed.select(*names, F.struct("first", "second").alias("island"))
 
     def run(t: pa.Table) -> pa.Table:
         labels = cluster_chimeras(list(zip(*(t[c].to_pylist() for c in names[1:]), strict=True)), batch)
         return t.append_column("cluster", pa.array(labels, pa.int64()))
 
     kinds = ", ".join(f"{c} {keyed.schema[c].dataType.simpleString()}" for c in keyed.columns)
-    return keyed.groupBy("id", "stretch").applyInArrow(run, f"{kinds}, cluster bigint")
+    return keyed.groupBy("id", "island").applyInArrow(run, f"{kinds}, cluster bigint")

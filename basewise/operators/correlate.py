@@ -70,3 +70,21 @@ def matrix(rs: DataFrame, value: str = "r") -> DataFrame:
     both = rs.select("s1", "s2", value).unionByName(rs.select(F.col("s2").alias("s1"), F.col("s1").alias("s2"), value))
     own = both.select("s1").distinct().select("s1", F.col("s1").alias("s2"), F.lit(1.0).alias(value))
     return both.unionByName(own).groupBy(F.col("s1").alias("sample")).pivot("s2").agg(F.first(value))
+
+
+def attribute_conflicts(df: DataFrame, by: list[str], attributes: list[str]) -> DataFrame:
+    """by, replicates, and conflicts: the attributes (in order) of which the replicates of a group have different values; null is a value too."""
+    counts = [(F.count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).alias(f"__{i}") for i, c in enumerate(attributes)]
+    got = df.groupBy(*by).agg(F.count(F.lit(1)).alias("replicates"), *counts)
+    names = F.array_compact(F.array(*(F.when(F.col(f"__{i}") > 1, F.lit(c)) for i, c in enumerate(attributes))))
+    return got.select(*by, "replicates", names.alias("conflicts"))
+
+
+def consistent(df: DataFrame, by: list[str], attributes: list[str]) -> DataFrame:
+    """The rows of groups whose replicates agree in all attributes."""
+    return df.join(attribute_conflicts(df, by, attributes).where(F.size("conflicts") == 0).select(*by), by, "left_semi")
+
+
+def in_all(df: DataFrame, key: str, sample: str, n: int) -> DataFrame:
+    """The keys that n samples have."""
+    return df.groupBy(key).agg(F.count_distinct(sample).alias("n")).where(F.col("n") == n).select(key)

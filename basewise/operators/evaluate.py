@@ -84,3 +84,15 @@ def fold_windows(lengths: DataFrame, size: int, step: int, ends: tuple[int, ...]
     more = [F.lit(e) for e in ends] + [F.col("length") - size - e for e in ends] + [F.col("length") - size]
     starts = F.when(whole, F.array(F.lit(0))).otherwise(F.array_distinct(F.filter(F.concat(n, F.array(*(m.cast("int") for m in more))), lambda s: (s >= 0) & (s <= F.col("length") - size))))
     return lengths.select("id", "length", F.explode(starts).alias("start")).select("id", "start", F.least(F.col("start") + size - 1, F.col("length") - 1).alias("end"))
+
+
+def pair_probability(probabilities: DataFrame, lookups: DataFrame) -> DataFrame:
+    """id, i, j and p (0 if absent) of every pair asked for, in either order of its bases. probabilities: id, i, j, p with i < j."""
+    asked = lookups.select("id", "i", "j").withColumns({"__a": F.least("i", "j"), "__b": F.greatest("i", "j")})
+    known = probabilities.select("id", F.col("i").alias("__a"), F.col("j").alias("__b"), "p")
+    return asked.join(known, ["id", "__a", "__b"], "left").select("id", "i", "j", F.coalesce("p", F.lit(0.0)).alias("p"))
+
+
+def partners(probabilities: DataFrame) -> DataFrame:
+    """id, base, partner and p of every pair, from both ends."""
+    return probabilities.select("id", F.explode(F.array(F.struct(F.col("i").alias("base"), F.col("j").alias("partner")), F.struct(F.col("j").alias("base"), F.col("i").alias("partner")))).alias("x"), "p").select("id", "x.base", "x.partner", "p")

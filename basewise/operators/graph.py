@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_ROUNDS = 50
-
-
 def _cut(df: DataFrame) -> DataFrame:
+    """df.checkpoint() in the session's shared folder; in local mode only, in a temporary one where none is set."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="basewise-"))
+        told = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not told and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="basewise-"))
     return df.checkpoint()
 
 
@@ -21,7 +22,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each node reaches. Labels go along edges and jump to their label's label."""
     both = _cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct())
     labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("u"), F.min("v")).alias("component"))
-    for _ in range(MOST_ROUNDS):
+    while True:
         labels = _cut(labels)
         near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("m"))
         nxt = labels.join(near, "node").select("node", F.least("component", "m").alias("component"))
@@ -30,4 +31,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if not jump.join(labels.withColumnRenamed("component", "old"), "node").where("component != old").limit(1).count():
             return jump
         labels = jump
-    raise RuntimeError("components need more rounds")

@@ -57,7 +57,7 @@ def extracted(counts: DataFrame, blocks: DataFrame) -> DataFrame:
     """Regions of a count frame as transcripts of their own: blocks has name, id, start, end and strand; its blocks are joined in order, - strands reversed and complemented."""
     from ..functions.sequence import complement
 
-    inside = counts.join(blocks, "id").where(F.col("pos").between(F.col("start"), F.col("end")))
+    inside = points_in(counts, blocks, ["id"], "pos", 1024)
     w = Window.partitionBy("name")
     up, down = F.row_number().over(w.orderBy("pos")) - 1, F.row_number().over(w.orderBy(F.desc("pos"))) - 1
     minus = F.col("strand") == "-"

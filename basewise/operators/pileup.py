@@ -126,3 +126,16 @@ def histogram(df: DataFrame, value: str, by: list[str] | None = None) -> DataFra
     spans = counts.groupBy(*by).agg(F.min(value).alias("a"), F.max(value).alias("b"))
     dense = spans.select(*by, F.explode(F.sequence("a", "b")).alias(value))
     return dense.join(counts, [*by, value], "left").fillna(0, ["n"])
+
+
+def fine_coverage(reads: DataFrame, low: str, by: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Depth at every position that has any, without the positions of low quality (an array) of each read."""
+    poor = reads.select(*by, "start", "end", F.explode(low).alias("pos")).where(F.col("pos").between(F.col("start"), F.col("end"))).groupBy(*by, "pos").agg(F.count(F.lit(1)).alias("__n"))
+    depth = coverage(reads, by).join(poor, [*by, "pos"], "left")
+    return depth.select(*by, "pos", (F.col("coverage") - F.coalesce("__n", F.lit(0))).alias("coverage")).where("coverage > 0")
+
+
+def median_span(reads: DataFrame, order: str, most: int = 10_000) -> DataFrame:
+    """The median length on the reference of the first reads, rounded half up: median."""
+    first = reads.orderBy(order).limit(most).select((F.col("end") - F.col("start") + 1).alias("span"))
+    return first.agg(F.floor(F.percentile("span", 0.5) + 0.5).cast("bigint").alias("median"))

@@ -96,7 +96,7 @@ def refined(peaks: DataFrame, df: DataFrame, least: float, rounds: float = 0.5)
 def summits(peaks: DataFrame, df: DataFrame, value: str = "t_coverage") -> DataFrame:
     """The longest run of positions with a peak's largest value, the first of equals: summit_start, summit_end."""
     spans = peaks.select("id", F.col("start").alias("p_start"), F.col("end").alias("p_end"))
-    inside = df.join(spans, "id").where(F.col("pos").between(F.col("p_start"), F.col("p_end")))
+    inside = intervals.points_in(df, spans, ["id"], "pos", 1024, ("p_start", "p_end"))
     top = inside.withColumn("__top", F.max(value).over(Window.partitionBy("id", "p_start", "p_end"))).where(F.col(value) == F.col("__top"))
     runs = intervals.islands(top, ["id", "p_start", "p_end"], "pos", F.lit(True))
     best = runs.groupBy("id", "p_start", "p_end").agg(F.max_by(F.struct("start", "end"), F.struct(F.col("end") - F.col("start"), -F.col("start"))).alias("s"))

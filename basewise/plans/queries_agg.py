@@ -266,9 +266,9 @@ def w08(spark, sf_dir):
     return got.select("id", *(F.col(c).cast("bigint").alias(c) for c in ("start", "end", "summit_start", "summit_end")))
 
 
-@query("w09_rolling_median", f"with {SQL['react']}, r as (select * from react where sample = 'A'), g as (select id, quantile_cont(value, 0.5) as m from r group by id), w as (select id, pos, quantile_cont(value, 0.5) over w as v, count(value) over w / count(*) over w as share from r window w as (partition by id order by pos rows between 5 preceding and 5 following)) select id, pos, round(case when share >= 0.8 then v - m end, 6) as rolling from w join g using (id)")
+@query("w09_rolling_median", f"with {SQL['react']}, g as (select id, sample, quantile_cont(value, 0.5) as m from react group by id, sample), w as (select id, sample, pos, quantile_cont(value, 0.5) over w as v, count(value) over w / count(*) over w as share from react window w as (partition by id, sample order by pos rows between 5 preceding and 5 following)) select id, sample, pos, round(case when share >= 0.8 then v - m end, 6) as rolling from w join g using (id, sample)")
 def w09(spark, sf_dir):
-    return W.rolling_median(reactivity_long(spark, sf_dir).where("sample = 'A'"), "value", 5, 0.8).select("id", "pos", _r("rolling"))
+    return W.rolling_median(reactivity_long(spark, sf_dir), "value", 5, 0.8, by=["id", "sample"]).select("id", "sample", "pos", _r("rolling"))
 
 
 @query("w10_ranks", f"with {SQL['react']} select id, sample, pos, rank() over (partition by id, sample order by value) + (count(*) over (partition by id, sample, value) - 1) / 2 as rank from react where value is not null")
@@ -276,26 +276,26 @@ def w10(spark, sf_dir):
     return T.ranks(reactivity_long(spark, sf_dir).where("value is not null"), "value", ["id", "sample"]).select("id", "sample", "pos", "rank")
 
 
-_P = f"{SQL['react']}, p as (select id, pos, round(value, 2) as p from react where sample = 'A' and value is not null), k as (select *, count(*) over (partition by id) as n, count(*) over (partition by id order by p range between unbounded preceding and current row) as r from p)"
+_P = f"{SQL['react']}, p as (select id, sample, pos, round(value, 2) as p from react where value is not null), k as (select *, count(*) over (partition by id, sample) as n, count(*) over (partition by id, sample order by p range between unbounded preceding and current row) as r from p)"
 
 
 def _p(spark, sf_dir):
-    return reactivity_long(spark, sf_dir).where("sample = 'A' and value is not null").select("id", "pos", F.round("value", 2).alias("p"))
+    return reactivity_long(spark, sf_dir).where("value is not null").select("id", "sample", "pos", F.round("value", 2).alias("p"))
 
 
-@query("w11_benjamini_hochberg", f"with {_P} select id, pos, round(least(1.0, min(p * n / r) over (partition by id order by p desc range between unbounded preceding and current row)), 6) as padj from k")
+@query("w11_benjamini_hochberg", f"with {_P} select id, sample, pos, round(least(1.0, min(p * n / r) over (partition by id, sample order by p desc range between unbounded preceding and current row)), 6) as padj from k")
 def w11(spark, sf_dir):
-    return T.adjusted(_p(spark, sf_dir), "p", ["id"]).select("id", "pos", _r("padj"))
+    return T.adjusted(_p(spark, sf_dir), "p", ["id", "sample"]).select("id", "sample", "pos", _r("padj"))
 
 
-@query("w11_running_maximum", f"with {_P} select id, pos, round(least(1.0, max(p * n / r) over (partition by id order by p range between unbounded preceding and current row)), 6) as padj from k")
+@query("w11_running_maximum", f"with {_P} select id, sample, pos, round(least(1.0, max(p * n / r) over (partition by id, sample order by p range between unbounded preceding and current row)), 6) as padj from k")
 def w11b(spark, sf_dir):
-    return T.adjusted(_p(spark, sf_dir), "p", ["id"], running=True).select("id", "pos", _r("padj"))
+    return T.adjusted(_p(spark, sf_dir), "p", ["id", "sample"], running=True).select("id", "sample", "pos", _r("padj"))
 
 
-@query("w11_bonferroni", f"with {_P} select id, pos, round(least(1.0, p * n), 6) as padj from k")
+@query("w11_bonferroni", f"with {_P} select id, sample, pos, round(least(1.0, p * n), 6) as padj from k")
 def w11c(spark, sf_dir):
-    return T.adjusted(_p(spark, sf_dir), "p", ["id"], "bonferroni").select("id", "pos", _r("padj"))
+    return T.adjusted(_p(spark, sf_dir), "p", ["id", "sample"], "bonferroni").select("id", "sample", "pos", _r("padj"))
 
 
 @query("w12_collapsed_mutations", f"with {SQL['reads']}, m as (select read_no, pos, lead(pos) over (partition by read_no order by pos) as nxt from (select read_no, unnest(muts) as pos from reads)) select read_no, pos from m where nxt is null or nxt - pos > 4")

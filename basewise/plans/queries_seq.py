@@ -65,11 +65,14 @@ def f04(spark, sf_dir):
     return _short(spark, sf_dir).where("length(sequence) >= 3").select("id", Q.translate(F.col("sequence")).alias("protein"))
 
 
-@query("f05_ambiguity_codes", f"with {_SHORT} select id, array_to_string(list_sort(list_distinct(string_split(sequence, ''))), '') as bases from short where len(sequence) > 0")
+@query("f05_ambiguity_codes", f"""with {SQL['seqs']}, k as (select distinct substr(sequence, i, 3) as word from (select sequence, unnest(generate_series(1, len(sequence) - 2)) as i from seqs where len(sequence) >= 3)),
+b as (select word, array_to_string(list_sort(list_distinct(string_split(word, ''))), '') as bases from k)
+select word, substr('-ACMGRSVTWYHKDBN', cast(contains(bases, 'A') as int) + 2 * cast(contains(bases, 'C') as int) + 4 * cast(contains(bases, 'G') as int) + 8 * cast(contains(bases, 'T') as int) + 1, 1) as code, bases from b""")
 def f05(spark, sf_dir):
-    bases = F.array_join(F.array_sort(F.array_distinct(F.split("sequence", ""))), "")
-    got = _short(spark, sf_dir).where("length(sequence) > 0").select("id", Q.to_iupac(bases).alias("code"))
-    return got.select("id", Q.from_iupac(F.col("code")).alias("bases"))
+    """The code of the bases in every word of three, and back."""
+    bases = F.array_join(F.array_sort(F.array_distinct(F.split("kmer", ""))), "")
+    got = K.counts(sequences(spark, sf_dir), 3).select(F.col("kmer").alias("word"), Q.to_iupac(bases).alias("code"))
+    return got.select("word", "code", Q.from_iupac(F.col("code")).alias("bases"))
 
 
 @query("f08_longest_orf")
@@ -77,14 +80,8 @@ def f08(spark, sf_dir):
     return sequences(spark, sf_dir).select("id", Q.longest_orf(F.col("sequence"), least=9).alias("orf"))
 
 
-@query("f09_hamming", f"with {_SHORT}, s as (select id, substr(sequence, 1, 20) as a, reverse(substr(sequence, 1, 20)) as b from short where len(sequence) >= 20) select id, cast(hamming(a, b) as bigint) as distance from s")
+@query("f09_hamming", f"with {_SHORT} select id, case when sequence = '' then 0 else cast(hamming(sequence, reverse(sequence)) as bigint) end as distance from short")
 def f09(spark, sf_dir):
-    s = _short(spark, sf_dir).where("length(sequence) >= 20").select("id", F.substring("sequence", 1, 20).alias("a"))
-    return s.select("id", Q.hamming(F.col("a"), F.reverse("a")).cast("bigint").alias("distance"))
-
-
-@query("f09_hamming_whole")
-def f09b(spark, sf_dir):
     return _short(spark, sf_dir).select("id", Q.hamming(F.col("sequence"), F.reverse("sequence")).cast("bigint").alias("distance"))
 
 
@@ -170,13 +167,8 @@ def f27(spark, sf_dir):
     return both.select("id", _r(M.distance(x, y), "d", 5), _r(M.distance(x, y, True), "dn", 5))
 
 
-@query("f36_gini", f"with {_VEC}, e as (select id, unnest(list_transform(xs, lambda x: abs(x))) as x from v) select a.id, round(sum(abs(a.x - b.x)) / (2 * count(*)) / avg(a.x), 5) as gini from e a join e b using (id) where a.id < 100 group by a.id")
+@query("f36_gini", f"with {_VEC}, e as (select id, unnest(list_transform(xs, lambda x: abs(x))) as x from v), k as (select id, x, row_number() over (partition by id order by x) as i, count(*) over (partition by id) as n from e) select id, round(sum((2 * i - n - 1) * x) / max(n) / sum(x), 5) as gini from k group by id")
 def f36(spark, sf_dir):
-    return _vectors(spark, sf_dir).where("id < 100").select("id", _r(M.gini(F.transform("xs", lambda x: F.abs(x))), "gini", 5))
-
-
-@query("f36_gini_whole")
-def f36b(spark, sf_dir):
     return _vectors(spark, sf_dir).select("id", _r(M.gini(F.transform("xs", lambda x: F.abs(x))), "gini", 5))
 
 
@@ -200,26 +192,16 @@ def q17(spark, sf_dir):
     return K.all_kmers(spark, 3)
 
 
-_KM = f"{SQL['seqs']}, km as (select substr(sequence, i, 5) as kmer, count(*) as n from (select sequence, unnest(generate_series(1, len(sequence) - 4)) as i from seqs where len(sequence) >= 5) group by 1 having count(*) >= 200)"
+_KM = f"{SQL['seqs']}, km as (select substr(sequence, i, 5) as kmer, count(*) as n from (select sequence, unnest(generate_series(1, len(sequence) - 4)) as i from seqs where len(sequence) >= 5) group by 1)"
 
 
 @query("j15_neighbours", f"with {_KM} select a.kmer as a, b.kmer as b from km a join km b on a.kmer < b.kmer and hamming(a.kmer, b.kmer) <= 1")
 def j15(spark, sf_dir):
-    return K.neighbours(K.counts(sequences(spark, sf_dir), 5).where("n >= 200").select("kmer"))
-
-
-@query("j15_neighbours_whole")
-def j15b(spark, sf_dir):
     return K.neighbours(K.counts(sequences(spark, sf_dir), 5).select("kmer"))
 
 
 @query("a44_weight_matrix", f"with {_KM} select cast(p - 1 as bigint) as pos, substr(kmer, cast(p as int), 1) as base, max(n) as weight from km, (select unnest(generate_series(1, 5)) as p) group by all")
 def a44(spark, sf_dir):
-    return K.matrix(K.counts(sequences(spark, sf_dir), 5).where("n >= 200")).select(F.col("pos").cast("bigint").alias("pos"), "base", "weight")
-
-
-@query("a44_weight_matrix_whole")
-def a44b(spark, sf_dir):
     return K.matrix(K.counts(sequences(spark, sf_dir), 5)).select(F.col("pos").cast("bigint").alias("pos"), "base", "weight")
 
 
@@ -229,35 +211,29 @@ def x09(spark, sf_dir):
     return K.enriched(s.where("id % 2 = 0"), s.where("id % 2 = 1"), 4, 0.05)
 
 
-@query("j19_around_peaks", f'with {SQL["iv"]}, {SQL["seqs"]}, c as (select distinct event_id % 200 as id, start % 300 as centre from iv) select c.id, centre, substr(sequence, cast(greatest(0, centre - 10) + 1 as int), cast(centre + 10 - greatest(0, centre - 10) + 1 as int)) as sequence from c join seqs using (id)')
+@query("j19_around_peaks", f"with {SQL['seqs']}, c as (select id, sequence, unnest(generate_series(0, len(sequence) - 1, 11)) as centre from seqs where sequence <> '') select id, cast(centre as int) as centre, substr(sequence, cast(greatest(0, centre - 10) + 1 as int), cast(centre + 10 - greatest(0, centre - 10) + 1 as int)) as sequence from c")
 def j19(spark, sf_dir):
-    c = intervals(spark, sf_dir).select((F.col("event_id") % 200).alias("id"), (F.col("start") % 300).alias("centre")).distinct()
-    return K.around(c, sequences(spark, sf_dir), 10)
-
-
-@query("j19_around_whole")
-def j19b(spark, sf_dir):
     """Centres so close that every base of every document stands around one."""
     s = sequences(spark, sf_dir)
     c = s.where("sequence <> ''").select("id", F.explode(F.sequence(F.lit(0), F.length("sequence") - 1, F.lit(11))).alias("centre"))
     return K.around(c, s, 10)
 
 
-_EVAL = f"{SQL['react']}, ev as (select id, pos, value, pos % 3 <> 0 as paired from react where sample = 'A')"
+_EVAL = f"{SQL['react']}, ev as (select id, sample, pos, value, pos % 3 <> 0 as paired from react)"
 
 
 def _eval(spark, sf_dir):
-    return reactivity_long(spark, sf_dir).where("sample = 'A'").select("id", "pos", "value", (F.col("pos") % 3 != 0).alias("paired"))
+    return reactivity_long(spark, sf_dir).select("id", "sample", "pos", "value", (F.col("pos") % 3 != 0).alias("paired"))
 
 
-@query("a33_unpaired_coefficient", f"with {_EVAL} select id, round(count(*) filter (value >= 0.6 and not paired) / count(*) filter (value >= 0.6), 6) as coefficient from ev group by id having count(*) filter (value >= 0.6) > 0")
+@query("a33_unpaired_coefficient", f"with {_EVAL} select id, sample, round(count(*) filter (value >= 0.6 and not paired) / count(*) filter (value >= 0.6), 6) as coefficient from ev group by id, sample having count(*) filter (value >= 0.6) > 0")
 def a33(spark, sf_dir):
-    return E.unpaired_coefficient(_eval(spark, sf_dir), ["id"], 0.6).where("coefficient is not null").select("id", _r("coefficient"))
+    return E.unpaired_coefficient(_eval(spark, sf_dir), ["id", "sample"], 0.6).where("coefficient is not null").select("id", "sample", _r("coefficient"))
 
 
-@query("j16_dsci", f"with {_EVAL}, k as (select * from ev where value is not null) select u.id, round(count(*) filter (p.value < u.value) / count(*), 6) as dsci from k u join k p using (id) where not u.paired and p.paired group by u.id")
+@query("j16_dsci", f"with {_EVAL}, k as (select * from ev where value is not null) select u.id, u.sample, round(count(*) filter (p.value < u.value) / count(*), 6) as dsci from k u join k p using (id, sample) where not u.paired and p.paired group by u.id, u.sample")
 def j16(spark, sf_dir):
-    return E.dsci(_eval(spark, sf_dir), ["id"]).where("dsci is not null").select("id", _r("dsci"))
+    return E.dsci(_eval(spark, sf_dir), ["id", "sample"]).where("dsci is not null").select("id", "sample", _r("dsci"))
 
 
 @query("a33_auroc", f"""with {_EVAL}, k as (select * from ev where value is not null), t as (select unnest(generate_series(0, 100)) as k), c as (select id, t.k, count(*) filter (not paired and value * 100 + 1e-9 >= t.k) / count(*) filter (not paired) as tpr, count(*) filter (paired and value * 100 + 1e-9 >= t.k) / count(*) filter (paired) as fpr from k, t group by all),
@@ -379,13 +355,8 @@ def k10(spark, sf_dir):
     return sinks.bed_lines(intervals(spark, sf_dir))
 
 
-@query("k11_fasta", f"with {_SHORT} select '>' || id || chr(10) || sequence as value from short where len(sequence) <= 60")
+@query("k11_fasta", f"with {_SHORT} select '>' || id || chr(10) || rtrim(regexp_replace(sequence, '(.{{60}})', '\\1' || chr(10), 'g'), chr(10)) as value from short")
 def k11(spark, sf_dir):
-    return sinks.fasta_records(_short(spark, sf_dir).where("length(sequence) <= 60").withColumn("id", F.col("id").cast("string")))
-
-
-@query("k11_fasta_whole")
-def k11b(spark, sf_dir):
     return sinks.fasta_records(_short(spark, sf_dir).withColumn("id", F.col("id").cast("string")))
 
 
@@ -439,10 +410,15 @@ def a16p(spark, sf_dir):
     return C.pearson(C.pairs(reactivity_long(spark, sf_dir), ["id", "pos"]), ["s1", "s2", "id"], p=True).select("s1", "s2", "id", "n", _r("r"), _r("p"))
 
 
-@query("f07_dinucleotide_shuffle", f"with {_SHORT} select id, len(sequence) as n, len(sequence) - len(replace(sequence, 'A', '')) as a from short")
+@query("f07_dinucleotide_shuffle", f"""with {_SHORT}, d as (select id, sequence, unnest(generate_series(1, greatest(len(sequence) - 1, 1))) as i from short), c as (select id, substr(sequence, i, 2) as pair, count(*) as n from d group by all),
+g as (select id, string_agg(pair || ':' || n, ',' order by pair) as pairs from c group by id)
+select id, substr(sequence, 1, 1) as first, substr(sequence, len(sequence), 1) as last, case when sequence = '' then ':1' else pairs end as pairs, len(sequence) >= 100 as moved from short join g using (id)""")
 def f07(spark, sf_dir):
-    s = _short(spark, sf_dir).select("id", Q.dishuffled(F.col("sequence"), 7).alias("s"))
-    return s.select("id", F.length("s").cast("bigint").alias("n"), (F.length("s") - F.length(F.replace("s", F.lit("A"), F.lit("")))).cast("bigint").alias("a"))
+    """Ends and pairs of neighbours stay; sequences of 100 bases or more don't stay as they are."""
+    s = _short(spark, sf_dir).select("id", "sequence", Q.dishuffled(F.col("sequence"), 7).alias("s"))
+    d = s.select("id", F.explode(F.sequence(F.lit(1), F.greatest(F.length("s") - 1, F.lit(1)))).alias("i"), "s").groupBy("id", F.expr("substring(s, i, 2)").alias("pair")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = d.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pair", "n"))), lambda x: F.concat(x["pair"], F.lit(":"), x["n"])), ",").alias("pairs"))
+    return s.join(pairs, "id").select("id", F.left("s", F.lit(1)).alias("first"), F.right("s", F.lit(1)).alias("last"), "pairs", ((F.length("s") >= 100) & (F.col("s") != F.col("sequence"))).alias("moved"))
 
 
 @query("r03_base_pairs", "with d as (select p_partkey as id, p_size % 7 + 2 as n from part) select id, cast(k as bigint) as i, cast(2 * n + 3 - k as bigint) as j from (select id, n, unnest(generate_series(0, n - 1)) as k from d)")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_agg, queries_norm, queries_seq, queries_stream
+from . import queries_agg, queries_more, queries_norm, queries_seq, queries_stream
 
-MODULES = [queries_norm, queries_agg, queries_seq, queries_stream]
+MODULES = [queries_norm, queries_agg, queries_seq, queries_stream, queries_more]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 for _m in MODULES:

@@ -48,8 +48,9 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines 1 and 2 of an order as mates: pair_id, mate, id, start, end (7 positions each)."""
-    lines = _cells(spark, sf_dir).where("l_linenumber <= 2").groupBy(F.col("l_orderkey").alias("pair_id"), F.col("l_linenumber").alias("mate"))
+    """Lines of an order as mates, two by two: pair_id, mate, id, start, end (7 positions each)."""
+    pair, mate = F.expr("l_orderkey * 4 + (l_linenumber - 1) div 2"), (F.col("l_linenumber") - 1) % 2 + 1
+    lines = _cells(spark, sf_dir).groupBy(pair.alias("pair_id"), mate.alias("mate"))
     return lines.agg(F.min("pos").alias("start"), F.max("hit").alias("hit")).select("pair_id", "mate", (F.col("pair_id") % 50).alias("id"), "start", (F.col("start") + 6).alias("end"), "hit")
 
 
@@ -73,8 +74,8 @@ SQL = {
     "react": f"{_CELLS}, react as (select id, l_returnflag as sample, pos, base, round(case when count(*) >= 2 then avg(l_quantity) / 50 end, 4) as value from cells group by all)",
     "reads": f"""{_CELLS}, reads as (select l_orderkey as read_no, min(l_linestatus) as sample, min(id) as id, min(pos) as start, max(pos) as "end",
       coalesce(list_sort(list(distinct pos) filter (hit = 1)), []) as muts from cells group by 1)""",
-    "mates": f"""{_CELLS}, mates as (select l_orderkey as pair_id, l_linenumber as mate, l_orderkey % 50 as id, min(pos) as start, min(pos) + 6 as "end", max(hit) as hit
-      from cells where l_linenumber <= 2 group by l_orderkey, l_linenumber)""",
+    "mates": f"""{_CELLS}, mates as (select pair_id, mate, pair_id % 50 as id, min(pos) as start, min(pos) + 6 as "end", max(hit) as hit
+      from (select l_orderkey * 4 + (l_linenumber - 1) // 2 as pair_id, (l_linenumber - 1) % 2 + 1 as mate, pos, hit from cells) group by pair_id, mate)""",
     "iv": """iv as (select user_id as id, event_id, cast(floor((epoch(ts) - epoch(timestamp '2024-01-01 00:00:00')) / 60) as bigint) as start,
       cast(floor((epoch(ts) - epoch(timestamp '2024-01-01 00:00:00')) / 60) + floor(value) as bigint) as "end", event_type, value from events)""",
     "seqs": "seqs as (select doc_id as id, regexp_replace(upper(text), '[^ACGT]', '', 'g') as sequence from documents)",

@@ -92,3 +92,29 @@ def write_text(df: DataFrame, path: str, single: bool = False) -> None:
 
 def write_table(df: DataFrame, path: str, separator: str = "\t") -> None:
     df.write.mode("overwrite").option("sep", separator).option("header", "true").csv(path)
+
+
+def count_text(df: DataFrame, by: tuple[str, ...] = ("id",), tabular: bool = False) -> DataFrame:
+    """Count records (by, pos, base, count, coverage) as text, by and value: id, sequence, counts and coverage on a line each, or a line for each base."""
+    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "base", "count", "coverage"))).alias("r"))
+
+    def list_of(c: str) -> Column:
+        return F.array_join(F.transform("r", lambda x: x[c].cast("string")), "" if c == "base" else ",")
+
+    name = F.col(by[0]).cast("string")
+    lines = F.array_join(F.transform("r", lambda x: F.concat_ws("\t", x["base"], x["count"].cast("string"), x["coverage"].cast("string"))), "\n")
+    text = F.concat(name, F.lit("\n"), lines) if tabular else F.concat_ws("\n", name, list_of("base"), list_of("count"), list_of("coverage"))
+    return rows.select(*by, text.alias("value"))
+
+
+def bed12_lines(exons: DataFrame) -> DataFrame:
+    """One BED12 line for each transcript (id, chrom, strand, start, end of exons; ends exclusive), the longest of those that share an id; cds_start and cds_end if there."""
+    rows = exons.groupBy("id", "chrom", "strand").agg(
+        F.min("start").alias("a"), F.max("end").alias("b"), F.sum(F.col("end") - F.col("start")).alias("n"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("e"),
+        *(F.min(c).alias(c) for c in ("cds_start", "cds_end") if c in exons.columns),
+    )
+    best = rows.groupBy("id").agg(F.max_by(F.struct(*(c for c in rows.columns if c != "id")), F.struct("n", "chrom", "strand")).alias("t")).select("id", "t.*")
+    thick = [F.col("cds_start"), F.col("cds_end")] if "cds_start" in exons.columns else [F.col("a"), F.col("b")]
+    sizes = F.concat(F.array_join(F.transform("e", lambda x: (x["end"] - x["start"]).cast("string")), ","), F.lit(","))
+    starts = F.concat(F.array_join(F.transform("e", lambda x: (x["start"] - F.col("a")).cast("string")), ","), F.lit(","))
+    return best.select(F.concat_ws("\t", "chrom", *(F.col(c).cast("string") for c in ("a", "b")), F.col("id").cast("string"), F.lit("0"), "strand", *(c.cast("string") for c in thick), F.lit("0,0,0"), F.size("e").cast("string"), sizes, starts).alias("value"))

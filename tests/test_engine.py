@@ -60,31 +60,31 @@ def test_other_queries_run(spark, name):
 
 def test_gini_of_all_vectors(spark, duck):
     want = duck.execute("with e as (select vec_id as id, unnest(list_transform(embedding, lambda x: abs(round(cast(x as double), 4)))) as x from embeddings) select a.id, sum(abs(a.x - b.x)) / (2 * count(*)) / avg(a.x) as gini from e a join e b using (id) group by a.id").fetchall()
-    got = {r["id"]: r["gini"] for r in registry.QUERIES["f36_gini_whole"](spark, SF).collect()}
+    got = {r["id"]: r["gini"] for r in registry.QUERIES["f36_gini"](spark, SF).collect()}
     assert len(got) == len(want) == 500 and all(abs(got[i] - g) < 2e-5 for i, g in want)
 
 
 def test_around_reaches_all_bases(spark):
     want = {r["id"]: r["sequence"] for r in sequences(spark, SF).collect() if r["sequence"]}
-    got = registry.QUERIES["j19_around_whole"](spark, SF).collect()
+    got = registry.QUERIES["j19_around_peaks"](spark, SF).collect()
     assert {(r["id"], r["centre"], r["sequence"]) for r in got} == {(i, c, s[max(0, c - 10) : c + 11]) for i, s in want.items() for c in range(0, len(s), 11)}
     assert len(got) == sum(-(-len(s) // 11) for s in want.values()) and max(len(s) for s in want.values()) > 311
 
 
 def test_fasta_and_hamming_of_whole_sequences(spark, duck):
     short = duck.execute("select conv_id * 1000 + turn, regexp_replace(upper(text), '[^ACGT]', '', 'g') from conversations").fetchall()
-    fasta = sorted(r["value"] for r in registry.QUERIES["k11_fasta_whole"](spark, SF).collect())
+    fasta = sorted(r["value"] for r in registry.QUERIES["k11_fasta"](spark, SF).collect())
     assert fasta == sorted("\n".join([f">{i}", *(s[k : k + 60] for k in range(0, max(1, len(s)), 60))]) for i, s in short) and any(x.count("\n") > 1 for x in fasta)
-    distance = sorted(tuple(r) for r in registry.QUERIES["f09_hamming_whole"](spark, SF).collect())
+    distance = sorted(tuple(r) for r in registry.QUERIES["f09_hamming"](spark, SF).collect())
     assert distance == sorted((i, sum(x != y for x, y in zip(s, s[::-1], strict=True))) for i, s in short)
 
 
 def test_neighbours_and_weights_of_all_kmers(spark):
     n = Counter(s[i : i + 5] for s in (r["sequence"] for r in sequences(spark, SF).collect()) for i in range(len(s) - 4))
     pairs = {tuple(sorted((a, b))) for a in n for p in range(5) for c in "ACGT" if (b := a[:p] + c + a[p + 1 :]) in n and a != b}
-    assert sorted(tuple(r) for r in registry.QUERIES["j15_neighbours_whole"](spark, SF).collect()) == sorted(pairs)
+    assert sorted(tuple(r) for r in registry.QUERIES["j15_neighbours"](spark, SF).collect()) == sorted(pairs)
     weights = {(p, b): max((m for k, m in n.items() if k[p] == b), default=0) for p in range(5) for b in "ACGT"}
-    assert {(r["pos"], r["base"]): r["weight"] for r in registry.QUERIES["a44_weight_matrix_whole"](spark, SF).collect()} == {k: m for k, m in weights.items() if m}
+    assert {(r["pos"], r["base"]): r["weight"] for r in registry.QUERIES["a44_weight_matrix"](spark, SF).collect()} == {k: m for k, m in weights.items() if m}
     assert min(n.values()) < 200
 
 

@@ -372,7 +372,7 @@ def test_chimera_clusters(spark):
     rows = [("t", s + (d := rng.randint(-3, 3)), s + 25 + d, e + d, e + 25 + d) for s, e in ((100, 300), (500, 900)) for _ in range(30)]
     rng.shuffle(rows)
     got = clustering.clustered(spark.createDataFrame(rows, "id string, start1 int, end1 int, start2 int, end2 int")).collect()
-    groups = {c: {r["start1"] < 300 for r in got if r["cluster"] == c} for c in {r["cluster"] for r in got}}
+    groups = {c: {r["start1"] < 300 for r in got if (r["island"], r["cluster"]) == c} for c in {(r["island"], r["cluster"]) for r in got}}
     assert len(groups) == 2 and all(len(g) == 1 for g in groups.values())
     assert clustering.chimera_centroid([(0, 9, 50, 59), (1, 10, 51, 60), (2, 11, 52, 61)]) == (1, 10, 51, 60)
     assert clustering.chimera_distance((0, 9, 50, 59), (0, 9, 70, 79)) == clustering.FAR
