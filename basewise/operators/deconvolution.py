@@ -162,3 +162,28 @@ def extended(df: DataFrame, n: int) -> DataFrame:
 
 def mean_stoichiometry(df: DataFrame) -> DataFrame:
     return df.withColumn("mean", F.aggregate("stoichiometries", F.lit(0.0), lambda a, x: a + x) / F.size("stoichiometries"))
+
+
+MATCHED = "id string, match bigint, replicate string, start bigint, end bigint, assigned array<int>, score double"
+
+
+def matched_windows(df: DataFrame, replicate: str = "file", least_overlap: float = 0.75) -> DataFrame:
+    """match() of each transcript's windows between replicates, in order of their names, with the conformations of each window assigned to those of the first replicate's (assigned, score: mean correlation).
+
+    df as COLUMNS. Transcripts that a replicate lacks have no matches."""
+    names = [replicate, "id", "start", "end", "counts", "coverage"]
+    every = sorted(r[0] for r in df.select(replicate).distinct().collect())
+
+    def run(t: pa.Table) -> pa.Table:
+        groups = {r: [] for r in every}
+        for w in t.to_pylist():
+            groups[w[replicate]].append(w)
+        out = []
+        for k, row in enumerate(match(list(groups.values()), least_overlap) if all(groups.values()) else []):
+            for r, w in zip(every, row, strict=True):
+                order, total = assign(similarity(row[0], w))
+                out.append({"id": str(w["id"]), "match": k, "replicate": r, "start": w["start"], "end": w["end"], "assigned": [int(x) for x in order], "score": float(total) / max(len(order), 1)})
+        kinds = [("id", pa.string()), ("match", pa.int64()), ("replicate", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("assigned", pa.list_(pa.int32())), ("score", pa.float64())]
+        return pa.Table.from_pylist(out, schema=pa.schema(kinds))
+
+    return df.select(names).groupBy("id").applyInArrow(run, MATCHED)

@@ -139,3 +139,15 @@ def median_span(reads: DataFrame, order: str, most: int = 10_000) -> DataFrame:
     """The median length on the reference of the first reads, rounded half up: median."""
     first = reads.orderBy(order).limit(most).select((F.col("end") - F.col("start") + 1).alias("span"))
     return first.agg(F.floor(F.percentile("span", 0.5) + 0.5).cast("bigint").alias("median"))
+
+
+def genome_counts(reads: DataFrame, trimmed: int = 0) -> DataFrame:
+    """Stops and coverage of both strands: id, strand, pos, count, coverage; reads has id, strand, start, end.
+
+    A read of the - strand stops behind its last position. Bases trimmed from a read's 5' end count as covered, and the
+    stop lies before them. Positions before 0 are left out; those behind a sequence's end are the caller's to drop."""
+    plus = F.col("strand") == "+"
+    wide = reads.select("id", "strand", F.when(plus, F.greatest(F.col("start") - trimmed, F.lit(0))).otherwise(F.col("start")).alias("start"), F.when(plus, F.col("end")).otherwise(F.col("end") + trimmed).alias("end"), F.when(plus, F.col("start") - trimmed - 1).otherwise(F.col("end") + trimmed + 1).alias("at"))
+    depth = coverage(wide, ("id", "strand")).withColumn("count", F.lit(0).cast("bigint"))
+    stop = wide.where("at >= 0").groupBy("id", "strand", F.col("at").alias("pos")).agg(F.count(F.lit(1)).alias("count")).withColumn("coverage", F.lit(0).cast("bigint"))
+    return depth.unionByName(stop.select(depth.columns)).groupBy("id", "strand", "pos").agg(F.sum("count").alias("count"), F.sum("coverage").alias("coverage"))

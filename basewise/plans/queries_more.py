@@ -189,3 +189,11 @@ def q24(spark, sf_dir):
     iv = intervals(spark, sf_dir)
     rows = iv.select("id", "start", (F.col("start") + 20).alias("e"), "end").select(F.col("id"), F.col("start").alias("start1"), F.col("e").alias("end1"), (F.col("end") + 30).alias("start2"), (F.col("end") + 55).alias("end2"))
     return H.workflow(rows)[1]
+
+
+@query("a05_genome_counts", f"""with {SQL['reads']}, g as (select id, case when read_no % 2 = 0 then '+' else '-' end as strand, case when read_no % 2 = 0 then greatest(start - 2, 0) else start end as a, case when read_no % 2 = 0 then "end" else "end" + 2 end as b,
+ case when read_no % 2 = 0 then start - 3 else "end" + 3 end as stop from reads), c as (select id, strand, pos, 0 as s, 1 as d from (select id, strand, unnest(generate_series(a, b)) as pos from g) union all select id, strand, stop, 1, 0 from g where stop >= 0)
+select id, strand, cast(pos as int) as pos, cast(sum(s) as bigint) as count, cast(sum(d) as bigint) as coverage from c group by all""")
+def a05(spark, sf_dir):
+    r = reads(spark, sf_dir).select("id", F.when(F.col("read_no") % 2 == 0, "+").otherwise("-").alias("strand"), "start", "end")
+    return P.genome_counts(r, 2).withColumn("pos", F.col("pos").cast("int"))
