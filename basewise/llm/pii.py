@@ -3,7 +3,8 @@
 Seeds are what fixed shapes find (the base kinds, and strings that only a generated secret looks like). The words and
 signs before an identifier make its pattern: either a named field (``token = "``) or the two words before it. Patterns
 and instances form a graph; Spark scores it in rounds: a pattern is as sure as the share of its occurrences in the whole
-corpus that hold believed instances, and an instance is as believed as the surest pattern that holds it. What sure
+corpus that hold believed instances, and an instance is as believed as the surest pattern that holds it. The rounds end
+with the one in which no further pattern becomes sure. What sure
 patterns hold elsewhere is personal data too, whatever it looks like: a field's value up to white space, a quote or an
 angle bracket, and any word behind two sure words. Only values of fields and words of 5 signs with a digit are instances
 of the graph, so a word without a digit never makes another pattern sure.
@@ -28,8 +29,8 @@ from .common import BLANK_WORDS, cut, gram_hashes, map_batches, pieces, scratch,
 
 KINDS = ("email", "ip", "card", "phone")
 FOUND = "secret"
-#: Rounds of scoring, sureness that a pattern needs, and distinct instances that it needs.
-ROUNDS, SURE, SUPPORT = 3, 0.6, 5
+#: Sureness that a pattern needs, and distinct instances that it needs.
+SURE, SUPPORT = 0.6, 5
 #: Patterns of two words that are counted in one pass over the texts.
 PATTERN_BLOCK = 200_000
 
@@ -257,26 +258,30 @@ def words_behind(docs: DataFrame, key: str, text: str, patterns: DataFrame) -> D
     return out
 
 
-def score(found: DataFrame, docs: DataFrame, text: str, rounds: int = ROUNDS, sure: float = SURE, support: int = SUPPORT) -> DataFrame:
-    """The sure patterns of the graph of patterns and instances."""
+def score(found: DataFrame, docs: DataFrame, text: str, sure: float = SURE, support: int = SUPPORT) -> DataFrame:
+    """The sure patterns of the graph of patterns and instances, in as many rounds as find any.
+
+    Belief and sureness never fall from round to round, so a sure pattern stays one."""
     edges = cut(found.select(F.explode("__found").alias("c")).select("c.pattern", "c.instance", "c.seed", "c.field").groupBy("pattern", "instance", "field").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")))
     # A pattern is looked at if enough different instances stand in it, whether one of them is a seed or not.
     looked = edges.groupBy("pattern", "field").agg(F.count(F.lit(1)).alias("instances"), F.sum("n").alias("held")).where(F.col("instances") >= support).drop("instances")
     graph = cut(edges.join(looked, ["pattern", "field"]))
     known = graph.sparkSession.createDataFrame([], "pattern bigint, total bigint")
     believed = graph.withColumn("belief", F.col("seed").cast("double"))
-    for turn in range(rounds):
+    before = 0
+    while True:
         # Occurrences are counted once a pattern would be sure without those that hold no candidate: no other can be sure.
         near = cut(believed.groupBy("pattern", "field").agg(F.sum(F.col("belief") * F.col("n")).alias("believed"), F.max("held").alias("held")).where(F.col("believed") >= sure * F.col("held")))
         new = cut(near.join(known, "pattern", "left_anti"))
         totals = count_patterns(docs, text, new.where(~F.col("field")).select("pattern"))
         known = cut(known.unionByName(new.join(totals, "pattern", "left").select("pattern", F.greatest("held", F.coalesce("total", F.lit(0))).alias("total"))))
         patterns = cut(near.join(known, "pattern").select("pattern", (F.col("believed") / F.col("total")).alias("sureness")).where(F.col("sureness") >= sure))
-        if turn < rounds - 1:
-            by_instance = graph.join(patterns, "pattern", "left").groupBy("instance").agg(F.max("sureness").alias("sureness"), F.max("seed").alias("seed"))
-            belief = by_instance.select("instance", F.greatest(F.col("seed").cast("double"), F.coalesce("sureness", F.lit(0.0))).alias("belief"))
-            believed = cut(graph.join(belief, "instance"))
-    return patterns
+        if (sure_now := patterns.count()) == before:
+            return patterns
+        before = sure_now
+        by_instance = graph.join(patterns, "pattern", "left").groupBy("instance").agg(F.max("sureness").alias("sureness"), F.max("seed").alias("seed"))
+        belief = by_instance.select("instance", F.greatest(F.col("seed").cast("double"), F.coalesce("sureness", F.lit(0.0))).alias("belief"))
+        believed = cut(graph.join(belief, "instance"))
 
 
 def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", with_doc: str | None = None, **more) -> DataFrame:

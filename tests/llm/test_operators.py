@@ -335,6 +335,18 @@ def test_patterns_two_hops_from_a_seed(spark):
     assert got[36] == [("secret", 12, 21)] and got[37] == [] and got[28] == [("secret", 12, 22)]
 
 
+def test_patterns_many_hops_from_a_seed(spark):
+    """Each pattern's instances stand in the next one too, so that the n-th pattern becomes sure in the n-th round; all are found."""
+    hops = [f"{a} {b}" for a, b in zip(("account", "ticket", "folder", "badge", "locker", "permit"), ("of", "for", "by", "at", "to", "in"), strict=True)]
+    rows = [f"one {hops[0]} {i:040x} now" for i in range(8)]
+    for n, (left, right) in enumerate(zip(hops, hops[1:], strict=False)):
+        rows += [f"the {p} unseen{n}{i}x77 now" for i in range(6) for p in (left, right)]
+    rows += ["we see " + hops[-1] + " other99x1 now", "we see nothing like other98x1 now"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: len(r["spans"]) for r in pii.personal_data(docs, sure=0.01).collect()}
+    assert all(got[i] == 1 for i in range(len(rows) - 1)) and got[len(rows) - 1] == 0
+
+
 def test_redact(spark):
     got = {r["doc_id"]: r for r in pii.redact(spark.createDataFrame([(*r, 1) for r in bootstrapped()], "doc_id long, text string, n_chars long"), length="n_chars").collect()}
     assert got[100]["text"] == 'odd one token = "[SECRET]" stays' and got[100]["n_chars"] == 32
