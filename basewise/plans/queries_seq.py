@@ -75,7 +75,10 @@ def f05(spark, sf_dir):
     return got.select("word", "code", Q.from_iupac(F.col("code")).alias("bases"))
 
 
-@query("f08_longest_orf")
+@query("f08_longest_orf", f"""with {SQL['seqs']}, c as (select id, i, substr(sequence, i, 3) as codon from (select id, sequence, unnest(generate_series(1, len(sequence) - 2)) as i from seqs where len(sequence) >= 3)),
+s as (select id, i, codon, min(case when codon in ('TAA', 'TAG', 'TGA') then i end) over (partition by id, i % 3 order by i rows between current row and unbounded following) as stop from c),
+b as (select id, i, stop + 3 - i as n, row_number() over (partition by id order by stop - i desc, i) as r from s where codon = 'ATG' and stop is not null)
+select seqs.id, case when n >= 9 then substr(sequence, cast(i as int), cast(n as int)) end as orf from seqs left join b on seqs.id = b.id and r = 1""")
 def f08(spark, sf_dir):
     return sequences(spark, sf_dir).select("id", Q.longest_orf(F.col("sequence"), least=9).alias("orf"))
 
@@ -205,10 +208,14 @@ def a44(spark, sf_dir):
     return K.matrix(K.counts(sequences(spark, sf_dir), 5)).select(F.col("pos").cast("bigint").alias("pos"), "base", "weight")
 
 
-@query("x09_enriched_kmers")
+@query("x09_enriched_kmers", f"""with {SQL['seqs']}, k as (select id % 2 as odd, substr(sequence, i, 4) as kmer from (select id, sequence, unnest(generate_series(1, len(sequence) - 3)) as i from seqs where len(sequence) >= 4)),
+c as (select kmer, count(*) filter (odd = 0) as n, count(*) filter (odd = 1) as m from k group by kmer), t as (select *, cast(sum(n) over () as bigint) as tn, cast(sum(m) over () as bigint) as tm from c),
+e as (select *, unnest(generate_series(n, least(n + m, tn))) as k from t where n > 0 and n * tm > m * tn),
+f as (select kmer, n, m, sum(exp(lgamma(tn + 1) - lgamma(k + 1) - lgamma(tn - k + 1) + lgamma(tm + 1) - lgamma(n + m - k + 1) - lgamma(tm - n - m + k + 1) - lgamma(tn + tm + 1) + lgamma(n + m + 1) + lgamma(tn + tm - n - m + 1))) as p from e group by all)
+select kmer, n, m, round(p, 6) as p from f where p < 0.05""")
 def x09(spark, sf_dir):
     s = sequences(spark, sf_dir)
-    return K.enriched(s.where("id % 2 = 0"), s.where("id % 2 = 1"), 4, 0.05)
+    return K.enriched(s.where("id % 2 = 0"), s.where("id % 2 = 1"), 4, 0.05).select("kmer", "n", "m", _r("p"))
 
 
 @query("j19_around_peaks", f"with {SQL['seqs']}, c as (select id, sequence, unnest(generate_series(0, len(sequence) - 1, 11)) as centre from seqs where sequence <> '') select id, cast(centre as int) as centre, substr(sequence, cast(greatest(0, centre - 10) + 1 as int), cast(centre + 10 - greatest(0, centre - 10) + 1 as int)) as sequence from c")
