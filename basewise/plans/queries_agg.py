@@ -122,6 +122,15 @@ def a16(spark, sf_dir):
     return C.pearson(_pairs(spark, sf_dir), ["s1", "s2", "id"]).select("s1", "s2", "id", "n", _r("r"))
 
 
+# Student's distribution for whole degrees of freedom, as a finite sum of powers of the cosine whose sine is r.
+@query("a16_pearson_p", f"""with {_PAIRS}, g as (select s1, s2, id, count(*) as n, least(1.0, abs(case when var_pop(x) > 1e-12 and var_pop(y) > 1e-12 then corr(x, y) end)) as s, {_CORR}, count(*) - 2 as df from pr group by all),
+k as (select s1, s2, id, unnest(generate_series(1, df // 2)) as k, df, 1 - s * s as c from g where df > 1 and s is not null),
+t as (select s1, s2, id, sum(case when df % 2 = 0 then exp(lgamma(k - 0.5) - lgamma(k)) / sqrt(pi()) else sqrt(c * pi()) / 2 * exp(lgamma(k) - lgamma(k + 0.5)) end * pow(c, k - 1)) as w from k group by all)
+select s1, s2, id, n, r, round(case when s is null or df < 1 then 1.0 else greatest(0.0, 1 - case when df % 2 = 0 then s * w else 2 / pi() * (asin(s) + s * coalesce(w, 0)) end) end, 6) as p from g left join t using (s1, s2, id)""")
+def a16p(spark, sf_dir):
+    return C.pearson(_pairs(spark, sf_dir), ["s1", "s2", "id"], p=True).select("s1", "s2", "id", "n", _r("r"), _r("p"))
+
+
 @query("a19_pearson_overall", f"with {_PAIRS} select s1, s2, count(*) as n, {_CORR} from pr group by all")
 def a19(spark, sf_dir):
     return C.pearson(_pairs(spark, sf_dir), ["s1", "s2"]).select("s1", "s2", "n", _r("r"))

@@ -410,13 +410,6 @@ def q23(spark, sf_dir):
     return call_peaks(samples(spark, sf_dir), window=10, offset=5, least=0.2, p=0.9, distance=3)
 
 
-@query("a16_pearson_p")
-def a16p(spark, sf_dir):
-    from ..operators import correlate as C
-
-    return C.pearson(C.pairs(reactivity_long(spark, sf_dir), ["id", "pos"]), ["s1", "s2", "id"], p=True).select("s1", "s2", "id", "n", _r("r"), _r("p"))
-
-
 @query("f07_dinucleotide_shuffle", f"""with {_SHORT}, d as (select id, sequence, unnest(generate_series(1, greatest(len(sequence) - 1, 1))) as i from short), c as (select id, substr(sequence, i, 2) as pair, count(*) as n from d group by all),
 g as (select id, string_agg(pair || ':' || n, ',' order by pair) as pairs from c group by id)
 select id, substr(sequence, 1, 1) as first, substr(sequence, len(sequence), 1) as last, case when sequence = '' then ':1' else pairs end as pairs, len(sequence) >= 100 as moved from short join g using (id)""")
