@@ -47,13 +47,16 @@ def release() -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to BATCH_ROWS if it is higher.
+    """Lower the session's Arrow batch size to BATCH_ROWS and BATCH_BYTES where it is higher.
 
-    It stays so: plans read it when they run, after the operator that made them has returned."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
+    It stays so: plans read it when they run, after the operator that made them has returned. A batch ends with the row
+    that takes it beyond BATCH_BYTES, so no executor gathers many long texts before it sends them to its worker."""
+    rows, size = (f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes"))
+    now = int(spark.conf.get(rows))
     if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size)) > BATCH_BYTES:
+        spark.conf.set(size, str(BATCH_BYTES))
 
 
 # -- intermediate tables and broadcasts ----------------------------------------------------------

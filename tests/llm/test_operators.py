@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basewise.llm import decontaminate, html_extract, importance, language_id, media_ts, mixing, ngram_join, pii, token_counts, toxicity
-from basewise.llm.common import ALNUM_WORDS, BLANK_WORDS, utf8_view, word_hashes
+from basewise.llm.common import ALNUM_WORDS, BATCH_BYTES, BLANK_WORDS, small_batches, utf8_view, word_hashes
 
 ODD = [(None, None, None, None), (1, None, "en", "s"), (2, "", "en", None), (3, " \n\t", None, "s"), (4, "a b", "en", "s"), (4, "a b", "en", "s"), (5, "Größe ÉTÉ \U0001f600 x", "de", "é")]
 SCHEMA = "doc_id long, text string, lang string, source string"
@@ -52,6 +52,18 @@ def test_word_hashes_find_words():
         assert all(len(v) == 1 for v in by.values()) and len(set().union(*by.values())) == len(by)
 
 
+def test_batches_are_bounded_by_bytes(spark):
+    long = spark.range(0, 300, 1, 1).select(F.expr("repeat('0123456789', 10000)").alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    small_batches(spark)
+    got = [r["size"] for r in long.mapInArrow(sizes, "size long").collect()]
+    assert sum(got) > 30_000_000 and max(got) <= BATCH_BYTES + 200_000
+
+
 # -- 1 ------------------------------------------------------------------------------------------------
 
 
