@@ -4,7 +4,10 @@
 2. In any fixed order of all grams, two sets with Jaccard similarity of at least t share k of the first
    ``n - ceil(t n) + k`` grams of each (k by the smaller set's size; see prefix()). The order puts frequent grams last, so
    that passages that many texts share seldom count. Grams that stand among the first of one class only are dropped,
-   then classes with fewer than k grams left, in turns; classes that share such a gram make a family.
+   then classes with fewer than k grams left. Of the k grams that two similar sets share, k/2 or more stand in PAIRED
+   classes at most, or more than k/2 in more classes. The former are counted pair by pair, so that grams that sets share
+   by chance, whose number grows with the table, join no families. Of the latter, grams and classes are dropped in turns,
+   and each gram ties its classes to its smallest one. Pairs and ties make the families.
 3. A family is searched by a signature tree. Its leaves are sets; a node holds the OR of the bitmaps of its sets, the
    range of their sizes, and how many grams a bitmap may hide. A traversal of the tree against itself (or another tree)
    prunes pairs of nodes whose largest possible overlap is too small, and those that are linked already; leaves are
@@ -40,8 +43,8 @@ UPPER_BITS, BROADCAST = 1 << 16, 500_000
 #: A gram is frequent if so many of SAMPLE neighbouring texts hold it; so many frequent grams are kept at most. A gram of
 #: d in N texts meets itself in some sample from about d = sqrt(2 N / SAMPLE) on, and rarer ones need no rank.
 LOCAL, SAMPLE, FREQUENT = 2, 8000, 400_000
-#: k by size (a share of it), and turns of dropping grams and classes.
-EXTRA, TURNS = 0.1, 3
+#: k by size (a share of it), turns of dropping grams and classes, and the most classes of a gram that meet pair by pair.
+EXTRA, TURNS, PAIRED = 0.1, 3, 6
 #: A key of a join is hot if more than HOT rows have it, and more than one in HOT_KEYS: so there are HOT_KEYS of them at most.
 HOT, HOT_KEYS = 100_000, 1000
 
@@ -339,22 +342,39 @@ def _prefixes(docs: DataFrame, text: str, frequent: DataFrame) -> DataFrame:
     return map_batches(docs.select(text), run, "gram bigint, cls bigint, often boolean, least int")
 
 
+def _thinned(rows: DataFrame, turns: int) -> DataFrame:
+    """rows (gram, cls, least; made by cut) without classes of fewer than least grams and grams of one class, in turns; with the hub (smallest class) and the number n of classes of each gram."""
+    for turn in range(turns):
+        enough = rows.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least")).where("n >= least").select("cls")
+        kept = cut(rows.select("gram", "cls", "least").join(enough, "cls", "left_semi"))
+        total = kept.count()
+        if turn and total == rows.count():  # no turn changes anything now
+            break
+        several = kept.groupBy("gram").agg(F.min("cls").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        rows = cut(spread_join(kept, several, "gram", hot_keys(several, "gram", total) if total > HOT else [], "inner"))
+    return rows
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """(cls, hub): the pairs of classes that share half of the grams they must, or more, in rows (gram, cls, least) of few classes for each gram."""
+    w = Window.partitionBy("gram").orderBy("cls")
+    ahead = [F.lead(F.struct("cls", "least"), j).over(w) for j in range(1, PAIRED)]
+    met = rows.withColumn("others", F.array_compact(F.array(*ahead))).select("cls", "least", F.explode("others").alias("other")).select("cls", F.col("other.cls").alias("hub"), F.greatest("least", "other.least").alias("least"))
+    return met.groupBy("cls", "hub").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least")).where("2 * n >= least").select("cls", "hub")
+
+
 def _families(prefixes: DataFrame) -> DataFrame:
-    """(node, component) of the classes that share enough first grams, by stars around the smallest class of each gram."""
+    """(node, component) of the classes that share enough first grams: by pairs, and by stars around the smallest class of each gram that many have."""
     # Frequent grams are held by several classes, as their counts tell; their rows need not meet here, and are spread.
     spread = F.when(F.col("often"), F.pmod(F.xxhash64("cls"), F.lit(1 << 20))).otherwise(F.lit(0))
-    w = Window.partitionBy("gram", "spread")
-    met = prefixes.withColumn("spread", spread).withColumns({"low": F.min("cls").over(w), "high": F.max("cls").over(w)})
-    rows = cut(met.where("often or low != high").select("gram", "cls", "least").distinct())
-    for _ in range(TURNS):
-        enough = rows.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least")).where("n >= least").select("cls")
-        kept = cut(rows.join(enough, "cls", "left_semi"))
-        several = kept.groupBy("gram").agg(F.min("cls").alias("hub"), F.max("cls").alias("last"), F.count(F.lit(1)).alias("n")).where("hub != last")
-        hot = hot_keys(several, "gram", n) if (n := kept.count()) > HOT else []
-        rows = cut(spread_join(kept, several.select("gram", "hub"), "gram", hot, "inner"))
-        stars = rows.where("cls != hub").select("cls", "hub").distinct()
-        rows = rows.drop("hub")
-    return components(stars, "cls", "hub")
+    w = Window.partitionBy("gram", "spread").orderBy("cls")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    met = prefixes.withColumn("spread", spread).withColumns({"low": F.first("cls").over(whole), "high": F.last("cls").over(whole), "before": F.lag("cls").over(w)})
+    with scratch(prefixes.sparkSession) as keep:
+        rows = _thinned(cut(met.where("(often or low != high) and (before is null or before != cls)").select("gram", "cls", "least")), 1)
+        many = rows.where(F.col("n") > PAIRED).select("gram", "cls", F.expr("least div 2 + 1").alias("least"))
+        edges = _pairs(rows.where(F.col("n") <= PAIRED)).unionByName(_thinned(cut(many), TURNS).where("cls != hub").select("cls", "hub"))
+        return keep(components(edges, "cls", "hub"))
 
 
 LINK = "fam bigint, a bigint, b bigint"

@@ -709,6 +709,30 @@ def test_join_equals_brute_force(spark, chunk, hot, fan, monkeypatch):
     assert sorted(map(tuple, got.collect())) == plain_links(rows)
 
 
+def test_join_with_few_pairs_equals_brute_force(spark, monkeypatch):
+    """Grams of more than two classes take the way of many classes, and all others that of pairs."""
+    rows = copies()
+    for paired in (2, 64):
+        monkeypatch.setattr(ngram_join, "PAIRED", paired)
+        got = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sorted(map(tuple, got.collect())) == plain_links(rows), paired
+
+
+def test_chance_grams_make_no_family(spark):
+    """40 pairs of near copies, each with three grams of each of six other pairs, stay 40 families: one family of all grows with the table."""
+    rows = []
+    for i in range(40):
+        text = [f"u{i}x{k}" for k in range(60)]
+        for step in (1, 2, 5):
+            for j in (i, (i - step) % 40):
+                text += [f"p{j}s{step}w{k}" for k in range(7)]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(["changed", *text[1:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    unranked = spark.createDataFrame([], "gram long, n long")
+    sizes = Counter(r["component"] for r in ngram_join._families(ngram_join._prefixes(docs, "text", unranked)).collect())
+    assert list(sizes.values()) == [2] * 40
+
+
 def test_prefix_bound():
     """Two similar sets share the stated number of counted grams, in any order."""
     rng = random.Random(13)
