@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -76,6 +77,10 @@ def shared_dir(spark: SparkSession) -> str:
 _folders: dict[str, str] = {}
 #: For each open scope, the folders and broadcasts that end with it.
 _scopes: list[list[str | Broadcast]] = []
+#: The folder of each table that cut() gave.
+_cuts: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+#: With this a query's shuffle files go when it ends, not when the driver happens to collect its garbage.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -103,10 +108,26 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: its lineage ends there, and lost executors lose nothing of it."""
     spark = df.sparkSession
     path = f"{_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_SHUFFLES)
+        else:
+            spark.conf.set(CLEAN_SHUFFLES, before)
     if _scopes:
         _scopes[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _cuts[out] = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Remove a table of cut() before its scope ends; nothing may read it any more. Other frames stay as they are."""
+    if (path := _cuts.pop(df, None)) is not None:
+        remove(df.sparkSession, path)
 
 
 def share(spark: SparkSession, value: object) -> Broadcast:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BLANK_WORDS, cut, gram_hashes, map_batches, mix, pieces, release, scratch, settle, share, slices, small_batches, table, utf8_view, word_hashes
+from .common import BLANK_WORDS, cut, drop, gram_hashes, map_batches, mix, pieces, release, scratch, settle, share, slices, small_batches, table, utf8_view, word_hashes
 
 GRAM, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: Sets in one search, bits of a leaf's bitmap, sets or nodes below a node.
@@ -349,9 +349,12 @@ def _thinned(rows: DataFrame, turns: int) -> DataFrame:
         kept = cut(rows.select("gram", "cls", "least").join(enough, "cls", "left_semi"))
         total = kept.count()
         if turn and total == rows.count():  # no turn changes anything now
+            drop(kept)
             break
+        drop(rows)
         several = kept.groupBy("gram").agg(F.min("cls").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
         rows = cut(spread_join(kept, several, "gram", hot_keys(several, "gram", total) if total > HOT else [], "inner"))
+        drop(kept)
     return rows
 
 
@@ -441,6 +444,7 @@ def _links(texts: DataFrame, chunk: int) -> DataFrame:
     links = cut(small.select("fam", "cls", "text", F.col("part").cast("bigint").alias("part")).unionByName(chunks).groupBy("fam", "part").applyInArrow(_inside, LINK))
     comps = components(links.join(large.select("fam"), "fam", "left_semi"))
     known = cut(members.drop("n", "hub", "parts").join(comps, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls")).drop("node", "component"))
+    drop(members)
     counts = cut(known.groupBy("fam", "comp").agg(F.count(F.lit(1)).alias("n")))
     tops = counts.groupBy("fam").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
     if not tops.limit(1).count():
@@ -448,6 +452,7 @@ def _links(texts: DataFrame, chunk: int) -> DataFrame:
     rest = F.col("comp") != F.col("top")
     dealt = F.pmod(F.xxhash64("cls", F.lit(1)), F.expr(f"cast(ceil(others / {chunk // 2}) as bigint)"))
     parts = cut(known.join(tops, "fam").select("fam", "cls", "text", "comp", rest.cast("int").alias("rest"), F.when(rest, dealt).otherwise(F.col("part").cast("bigint")).alias("part")))
+    drop(known)
     # The upper tree: of each two nodes one holds others than the largest component.
     schema = "fam bigint, rest int, part bigint, bits binary, low bigint, high bigint, hidden bigint"
     levels = [cut(parts.groupBy("fam", "rest", "part").applyInArrow(_node, schema))]

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basewise.llm import decontaminate, html_extract, importance, language_id, media_ts, mixing, ngram_join, pii, token_counts, toxicity
-from basewise.llm.common import ALNUM_WORDS, BATCH_BYTES, BLANK_WORDS, small_batches, utf8_view, word_hashes
+from basewise.llm.common import ALNUM_WORDS, BATCH_BYTES, BLANK_WORDS, cut, drop, scratch, small_batches, utf8_view, word_hashes
 
 ODD = [(None, None, None, None), (1, None, "en", "s"), (2, "", "en", None), (3, " \n\t", None, "s"), (4, "a b", "en", "s"), (4, "a b", "en", "s"), (5, "Größe ÉTÉ \U0001f600 x", "de", "é")]
 SCHEMA = "doc_id long, text string, lang string, source string"
@@ -658,6 +660,23 @@ def test_toxicity_without_labels(odd, empty, spark):
     assert toxicity.grade(empty, toxicity.fit(empty, none)).count() == 0
 
 
+def test_cut_leaves_no_shuffle_files(spark):
+    def files():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString("\n").split("\n")
+        return {b for b in blocks if b.startswith("shuffle_")}
+
+    before, setting = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    with scratch(spark):
+        got = cut(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count())
+        for _ in range(50):
+            if left := files() - before:
+                time.sleep(0.1)
+        assert not left and got.count() == 10 and spark.conf.get(setting, None) is None
+        path = got.inputFiles()[0].removeprefix("file:")
+        drop(got)
+        assert not os.path.exists(path)
+
+
 # -- 10 -----------------------------------------------------------------------------------------------
 
 
