@@ -47,6 +47,8 @@ LOCAL, SAMPLE, FREQUENT = 2, 8000, 400_000
 EXTRA, TURNS, PAIRED = 0.1, 3, 6
 #: A key of a join is hot if more than HOT rows have it, and more than one in HOT_KEYS: so there are HOT_KEYS of them at most.
 HOT, HOT_KEYS = 100_000, 1000
+#: A graph of so many edges at most is solved on the driver.
+EDGES = 200_000
 
 
 def need(sizes: np.ndarray | int) -> np.ndarray | int:
@@ -244,18 +246,35 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, hot: list[int], how
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each node reaches over edges. Rows for nodes that have edges only."""
-    both = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    with scratch(edges.sparkSession) as keep:
+        both = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        return keep(_few_components(both) if both.count() <= EDGES else _many_components(both))
+
+
+def _few_components(both: DataFrame) -> DataFrame:
+    got = both.toArrow()
+    nodes, at = np.unique(np.concatenate((got["u"].to_numpy(), got["v"].to_numpy())), return_inverse=True)
+    union = Union(len(nodes))
+    for x, y in zip(at[: len(got)].tolist(), at[len(got) :].tolist(), strict=True):
+        union.join(x, y)
+    roots = np.array([union.find(i) for i in range(len(nodes))], np.int64)
+    return both.sparkSession.createDataFrame(pa.table({"node": nodes, "component": nodes[roots]}))
+
+
+def _many_components(both: DataFrame) -> DataFrame:
     stars = both
     while True:
         # Every node to the smallest node it has seen, and what pointed elsewhere between the two.
         low = stars.groupBy("u").agg(F.min("v").alias("m"))
         hung = stars.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         tall = cut(low.select("u", F.col("m").alias("v")).unionByName(hung.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))).distinct())
+        drop(stars)
         # Then paths of two become one.
         roots = tall.groupBy("u").agg(F.min("v").alias("m"))
         hot = hot_keys(tall.groupBy("v").agg(F.count(F.lit(1)).alias("n")), "v", n) if (n := tall.count()) > HOT else []
         short = spread_join(tall, roots.select(F.col("u").alias("v"), "m"), "v", hot, "left").select("u", F.coalesce("m", "v").alias("v"), F.col("v").alias("old"))
         flat = cut(short.select("u", "v").unionByName(short.where("old != v").select(F.col("old").alias("u"), "v")).distinct())
+        drop(tall)
         bad = flat.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() or flat.alias("x").join(flat.alias("y"), F.col("x.v") == F.col("y.u"), "left_semi").limit(1).count()
         if not bad:
             return flat.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(flat.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -797,6 +797,24 @@ def test_components(spark):
     assert got == {x: union.find(x) for e in edges if e[0] != e[1] for x in e}
 
 
+def test_components_of_large_graphs(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "EDGES", 0)
+    test_components(spark)
+
+
+def test_small_graphs_take_few_jobs(spark):
+    """A path of 200 nodes is solved at once, not in rounds of jobs that shuffle."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    sc, group = spark.sparkContext, "test_small_graphs"
+    sc.setJobGroup(group, group)
+    try:
+        got = ngram_join.components(edges).collect()
+        assert len(sc.statusTracker().getJobIdsForGroup(group)) <= 10
+    finally:
+        sc._jsc.clearJobGroup()
+    assert {tuple(r) for r in got} == {(i, 0) for i in range(201)}
+
+
 def test_join_odd_rows(odd, empty):
     got = {r["n"]: r for r in ngram_join.jaccard_join(odd, "n").collect()}
     assert got[4]["component_id"] == got[5]["component_id"] == 4 and got[0]["n_shingles"] == 0 and got[3]["component_id"] == 3
