@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .clustering import chimera_centroid, clustered
+from .clustering import chimera_centroid, clustered, tasks, whole_groups
+from .intervals import overlapping
 
 
 def sampled(df: DataFrame, key: str, most: int, order: list[str], seed: int = 0) -> DataFrame:
@@ -16,16 +19,24 @@ def sampled(df: DataFrame, key: str, most: int, order: list[str], seed: int = 0)
 
 def centroids(chimeras: DataFrame, by: list[str]) -> DataFrame:
     """by, start1, end1, start2, end2 and reads of every cluster: for each half the middle of its most covered positions, half its median length to each side."""
+    import numpy as np
     import pyarrow as pa
 
     names = ["start1", "end1", "start2", "end2"]
-
-    def run(t: pa.Table) -> pa.Table:
-        c = chimera_centroid(list(zip(*(t[x].to_pylist() for x in names), strict=True)))
-        return pa.table([*(t[x][:1] for x in by), *(pa.array([int(v)], pa.int64()) for v in c), pa.array([len(t)], pa.int64())], names=[*by, *names, "reads"])
+    ordered = chimeras.select(*by, *names).repartition(tasks(chimeras), *by).sortWithinPartitions(*by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, bounds in whole_groups(batches, by):
+            reads, points = np.diff(bounds), np.array([t[x].to_numpy() for x in names], np.int64)
+            out = points[:, bounds[:-1]]
+            out[[0, 2]] = np.maximum(out[[0, 2]], 0)  # the centroid of one chimera
+            for g in np.flatnonzero(reads > 1):
+                out[:, g] = chimera_centroid(points[:, bounds[g] : bounds[g + 1]].T.tolist())
+            heads = t.select(by).take(pa.array(bounds[:-1]))
+            yield from pa.table([*heads.columns, *(pa.array(v) for v in out), pa.array(reads)], names=[*by, *names, "reads"]).to_batches()
 
     kinds = "".join(f"{c} {chimeras.schema[c].dataType.simpleString()}, " for c in by)
-    return chimeras.select(*by, *names).groupBy(*by).applyInArrow(run, f"{kinds}start1 bigint, end1 bigint, start2 bigint, end2 bigint, reads bigint")
+    return ordered.mapInArrow(run, f"{kinds}start1 bigint, end1 bigint, start2 bigint, end2 bigint, reads bigint")
 
 
 def supported(pairs: DataFrame, clusters: DataFrame, by: list[str], least: float = 0.5) -> DataFrame:
@@ -40,16 +51,25 @@ def refined(pairs: DataFrame, clusters: DataFrame, by: list[str]) -> DataFrame:
     return clusters.select(*by, "reads").join(bounds, by).select(*by, "start1", "end1", "start2", "end2", "reads")
 
 
-def probability(clusters: DataFrame, by: list[str], key: str = "cluster") -> DataFrame:
-    """Clusters with the share of their reads among those of the clusters that can't be there at the same time: those that overlap at one half and differ at the other, and themselves."""
+def probability(clusters: DataFrame, by: list[str], key: str = "cluster", size: int = 128) -> DataFrame:
+    """Clusters with the share of their reads among those of the clusters that can't be there at the same time: those that overlap at one half and differ at the other, and themselves.
+
+    Halves meet in bins of size positions, and a pair of clusters is taken at the first two of its halves that overlap."""
     names = ["start1", "end1", "start2", "end2", "reads", key]
-    other = clusters.select(*by, *(F.col(c).alias("o_" + c) for c in names))
+    mine = clusters.select(*by, *names)
+    other = mine.select(*by, *(F.col(c).alias("o_" + c) for c in names))
 
     def meet(a: str, b: str):
         return (F.col(f"start{a}") <= F.col(f"o_end{b}")) & (F.col(f"o_start{b}") <= F.col(f"end{a}"))
 
-    touching = meet("1", "1") | meet("1", "2") | meet("2", "1") | meet("2", "2")
-    rivals = clusters.join(other, by).where(touching & ~(meet("1", "1") & meet("2", "2")) & (F.col(key) != F.col("o_" + key)))
+    def halves(df: DataFrame, mark: str) -> DataFrame:
+        each = (F.struct(F.lit(i).alias("half"), F.col(f"{mark}start{i + 1}").alias("low"), F.col(f"{mark}end{i + 1}").alias("high")) for i in (0, 1))
+        half = df.withColumn("__h", F.explode(F.array(*each)))
+        return half.withColumns({f"__{mark}{c}": F.col(f"__h.{c}") for c in ("half", "low", "high")}).drop("__h")
+
+    pairs = overlapping(halves(mine, ""), halves(other, "o_"), by, size, ("__low", "__high"), ("__o_low", "__o_high"))
+    first = F.when(meet("1", "1"), 0).when(meet("1", "2"), 1).when(meet("2", "1"), 2).otherwise(3)
+    rivals = pairs.where((first == F.col("__half") * 2 + F.col("__o_half")) & ~(meet("1", "1") & meet("2", "2")) & (F.col(key) != F.col("o_" + key)))
     lost = rivals.groupBy(*by, key).agg(F.sum("o_reads").alias("lost"))
     return clusters.join(lost, [*by, key], "left").withColumn("probability", F.col("reads") / (F.col("reads") + F.coalesce("lost", F.lit(0)))).drop("lost")
 

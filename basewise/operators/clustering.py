@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 FAR = 1e308
@@ -149,20 +150,67 @@ def islands(df: DataFrame, start: str, end: str, by: list[str], name: str) -> Da
     return df.withColumn(name, begins.cast("bigint")).withColumn(name, F.sum(name).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def tasks(df: DataFrame) -> int:
+    """How many tasks a shuffle of df for Python code has: a given number isn't lowered for small files, where the work isn't in the bytes."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def begins(t: pa.Table | pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """The rows, but for the first, whose keys aren't those of the row before."""
+    new = np.zeros(max(0, t.num_rows - 1), bool)
+    for k in keys:
+        a, b = t[k].slice(0, len(new)), t[k].slice(1)
+        new |= pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False) | (a.is_null().to_numpy(zero_copy_only=False) != b.is_null().to_numpy(zero_copy_only=False))
+    return np.flatnonzero(new) + 1
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, with the bounds of each, from batches in the order of their keys; one group at least and little more than a batch, so that small groups cost no call each."""
+
+    def given() -> tuple[pa.Table, np.ndarray]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        return t, np.concatenate([[0], begins(t, keys), [t.num_rows]])
+
+    held: list[pa.RecordBatch] = []
+    last: tuple = ()
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new, ends = begins(b, keys), [tuple(b[k][i].as_py() for k in keys) for i in (0, b.num_rows - 1)]
+        if held and ends[0] != last:
+            yield given()
+            held = []
+        if len(new):
+            held.append(b.slice(0, new[-1]))
+            yield given()
+            held = []
+        held.append(b.slice(new[-1] if len(new) else 0))
+        last = ends[1]
+    if held:
+        yield given()
+
+
 def clustered(chimeras: DataFrame, batch: int = 1000) -> DataFrame:
     """Chimeras (id, start1, end1, start2, end2) with their island and their cluster's number in it.
 
     Chimeras of one cluster overlap at both halves, so they lie in one island of first halves, and inside it in one of
-    second halves: islands are clustered apart from each other without losing a cluster."""
+    second halves: islands are clustered apart from each other without losing a cluster. Islands pass in their order, many
+    to a batch, and those of one transcript are dealt to many tasks."""
     from pyspark.sql import functions as F
 
-    names = ["id", "start1", "end1", "start2", "end2"]
-    keyed = islands(islands(chimeras.select(*names), "start1", "end1", ["id"], "first"), "start2", "end2", ["id", "first"], "second")
-    keyed = keyed.select(*names, F.struct("first", "second").alias("island"))
-
-    def run(t: pa.Table) -> pa.Table:
-        labels = cluster_chimeras(list(zip(*(t[c].to_pylist() for c in names[1:]), strict=True)), batch)
-        return t.append_column("cluster", pa.array(labels, pa.int64()))
-
-    kinds = ", ".join(f"{c} {keyed.schema[c].dataType.simpleString()}" for c in keyed.columns)
-    return keyed.groupBy("id", "island").applyInArrow(run, f"{kinds}, cluster bigint")
+    names, keys = ["id", "start1", "end1", "start2", "end2"], ["id", "first", "second"]
+    n = tasks(chimeras)
+    dealt = chimeras.select(*names).repartition(n, "id")
+    keyed = islands(islands(dealt, "start1", "end1", ["id"], "first"), "start2", "end2", ["id", "first"], "second")
+    ordered = keyed.select(*names, "first", "second").repartition(n, *keys).sortWithinPartitions(*keys, *names[1:])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, bounds in whole_groups(batches, keys):
+            labels = np.zeros(t.num_rows, np.int64)  # a chimera alone in its island is cluster 0
+            for g in np.flatnonzero(np.diff(bounds) > 1):
+                low, high = bounds[g], bounds[g + 1]
+                labels[low:high] = cluster_chimeras(list(zip(*(t[c].slice(low, high - low).to_pylist() for c in names[1:]), strict=True)), batch)
+            yield from t.append_column("cluster", pa.array(labels)).to_batches()
+
+    kinds = ", ".join(f"{c} {ordered.schema[c].dataType.simpleString()}" for c in ordered.columns)
+    return ordered.mapInArrow(run, f"{kinds}, cluster bigint").select(*names, F.struct("first", "second").alias("island"), "cluster")

@@ -155,3 +155,42 @@ def test_genetic_codes():
         with pytest.raises(ValueError):
             Q.genetic_code(t)
     assert len({tuple(Q.genetic_code(t).items()) for t in (1, *range(21, 34))}) == 13  # 27 and 28 differ in context only
+
+
+def test_chimeras_of_many_islands_pass_in_few_batches(spark):
+    """Whole groups, whatever the batches: the same clusters as island by island, and as with every pair of clusters compared."""
+    rng = random.Random(9)
+    rows = [(t, a := rng.randrange(6000), a + 20, b := a + rng.randrange(5, 400), b + 25) for t in range(6) for _ in range(150)]
+    rows += [(7, a := rng.randrange(40), a + 20, b := a + rng.randrange(300, 330), b + 25) for _ in range(60)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got, clusters = (df.collect() for df in chimeras.workflow(spark.createDataFrame(rows, "id long, start1 long, end1 long, start2 long, end2 long")))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    islands = {}
+    for r in got:
+        islands.setdefault((r["id"], *r["cluster"].split(".")[:2]), []).append(r)
+    assert sorted(tuple(r)[:5] for r in got) == sorted(rows) and max(map(len, islands.values())) > 7 and len(islands) > 300
+    groups = {}
+    for k, found in islands.items():
+        points = sorted((tuple(r[1:5]), r["cluster"]) for r in found)
+        assert [int(c.split(".")[2]) for _, c in points] == clustering.cluster_chimeras([p for p, _ in points])
+        for p, c in points:
+            groups.setdefault((k[0], c), []).append(p)
+    want = {k: (*clustering.chimera_centroid(p), len(p)) for k, p in groups.items()}
+    assert {(r["id"], r["cluster"]): tuple(r[c] for c in ("start1", "end1", "start2", "end2", "reads")) for r in clusters} == want
+
+    def meet(a, b, i, j):
+        return a[i] <= b[j + 1] and b[j] <= a[i + 1]
+
+    for r in clusters:
+        a = want[r["id"], r["cluster"]]
+        lost = sum(b[4] for (t, c), b in want.items() if t == r["id"] and c != r["cluster"] and any(meet(a, b, i, j) for i in (0, 2) for j in (0, 2)) and not (meet(a, b, 0, 0) and meet(a, b, 2, 2)))
+        assert r["probability"] == a[4] / (a[4] + lost)
+
+
+def test_chimera_workflow_makes_no_call_for_each_group(spark):
+    """A group of its own costs about a millisecond in Python calls and Arrow: millions of small islands pass in batches, by a join on bins."""
+    df = spark.createDataFrame([(1, 1, 20, 50, 80)], "id long, start1 long, end1 long, start2 long, end2 long")
+    p = chimeras.workflow(df)[1]._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in p and "MapInArrow" in p and "__bin" in p
