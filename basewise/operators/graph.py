@@ -2,19 +2,43 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the session's shared folder; in local mode only, in a temporary one where none is set."""
-    sc = df.sparkSession.sparkContext
+
+def _shared(spark: SparkSession) -> str:
+    """The session's shared folder; in local mode only, a temporary one where none is set."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        told = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        told = spark.conf.get("spark.checkpoint.dir", None)
         if not told and not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="basewise-"))
+    return sc.getCheckpointDir()
+
+
+def kept_folder(spark: SparkSession) -> str:
+    """The path of a new folder in the shared one for a result that is read later; it goes when the driver ends."""
+    path = f"{_shared(spark)}/kept-{uuid.uuid4().hex}"
+
+    def clean() -> None:
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001 (the JVM may have ended first)
+            pass
+
+    atexit.register(clean)
+    return path
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """df.checkpoint() in the shared folder."""
+    _shared(df.sparkSession)
     return df.checkpoint()
 
 

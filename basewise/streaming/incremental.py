@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
 def running_counts(cells: DataFrame) -> DataFrame:
     """Counts and coverage of a stream of cells (sample, id, pos, hit) so far; for update or complete mode."""
     return cells.groupBy("sample", "id", "pos").agg(F.sum("hit").alias("count"), F.count(F.lit(1)).alias("coverage"))
@@ -20,6 +23,26 @@ def late_counts(cells: DataFrame, time: str, delay: str, window: str) -> DataFra
     return cells.withWatermark(time, delay).groupBy(F.window(time, window), "id", "pos").agg(F.sum("hit").alias("count"), F.count(F.lit(1)).alias("coverage"))
 
 
+def last_counts(cells: DataFrame, checkpoint: str) -> DataFrame:
+    """The running counts in complete mode once all that is there has passed, read by tasks from the stream's state in checkpoint.
+
+    In complete mode the state is the whole result, so no sink need hold it. It is in RocksDB, whose memory is bounded;
+    neither driver nor executors hold the result."""
+    spark = cells.sparkSession
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        run = running_counts(cells).writeStream.outputMode("complete").format("noop").option("checkpointLocation", checkpoint).start()
+    finally:
+        spark.conf.set(STATE_STORE, before)
+    try:
+        run.processAllAvailable()
+    finally:
+        run.stop()
+    state = spark.read.format("statestore").load(checkpoint)
+    return state.select("key.*", F.col("value.sum").alias("count"), F.col("value.count").alias("coverage"))
+
+
 FRAGMENT = "pair_id long, id long, start long, end long, mates int"
 
 

@@ -157,3 +157,14 @@ def test_nothing_else_imports_the_text_operators():
     for p in (ROOT / "basewise").rglob("*.py"):
         if "llm" not in p.parts:
             assert not re.search(r"\bllm\b", p.read_text()), p
+
+
+def test_streamed_counts_stay_off_the_driver(spark, tmp_path):
+    """The result is read by tasks, and is that of all batches."""
+    got = registry.QUERIES["k03_streamed_counts"](spark, SF)
+    assert "LocalTableScan" not in plan(got) and not [t.name for t in spark.catalog.listTables() if t.name.startswith("counts_")]
+    for k in range(3):
+        pd.DataFrame([("s", 1, 2, k % 2), ("s", k, 3, 1), (None, 1, 2, 1)], columns=["sample", "id", "pos", "hit"]).to_parquet(tmp_path / f"{k}.parquet")
+    stream = spark.readStream.schema("sample string, id long, pos long, hit long").option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 1).load(str(tmp_path))
+    rows = [tuple(r) for r in incremental.last_counts(stream, str(tmp_path / "c")).collect()]
+    assert sorted(rows, key=str) == sorted([("s", 1, 2, 1, 3), ("s", 0, 3, 1, 1), ("s", 1, 3, 1, 1), ("s", 2, 3, 1, 1), (None, 1, 2, 3, 3)], key=str)
