@@ -108,12 +108,23 @@ def fisher(a: float, b: float, c: float, d: float, two_sided: bool = False) -> f
     a, b, c, d = (int(math.floor(v + 0.5)) for v in (a, b, c, d))
     good, bad, n = a + b, c + d, a + c
     low, high = max(0, n - bad), min(good, n)
-    k = np.arange(low, high + 1)
-    p = np.exp(log_hyper(k, good, bad, n))
-    here = p[a - low]
-    if two_sided:
-        return float(min(1.0, p[p <= here * (1 + 1e-7)].sum()))
-    return float(min(1.0, p[k >= a].sum() if a * d >= b * c else p[k <= a].sum()))
+    if not two_sided:
+        return min(1.0, _tail(a, high, good, bad, n) if a * d >= b * c else _tail(a, low, good, bad, n))
+    p = np.exp(log_hyper(np.arange(low, high + 1), good, bad, n))
+    return float(min(1.0, p[p <= p[a - low] * (1 + 1e-7)].sum()))
+
+
+def _tail(k: int, end: int, good: int, bad: int, n: int) -> float:
+    """The hypergeometric probability of k to end, k on end's side of the mean: terms fall faster and faster, and are summed until what is left can't change the sum."""
+    step, size, total = (1 if end >= k else -1), 1024, 0.0
+    while (end - k) * step >= 0:
+        p = np.exp(log_hyper(np.arange(k, k + step * min(size, abs(end - k) + 1), step), good, bad, n))
+        total += float(p.sum())
+        # What is left is less than a geometric series that falls as the last two terms do.
+        if len(p) > 1 and p[-1] < p[-2] and p[-1] * p[-1] / (p[-2] - p[-1]) <= total * 2**-60 or p[-1] == 0:
+            break
+        k, size = k + step * len(p), min(2 * size, 1 << 18)
+    return total
 
 
 def binomial(k: int, n: int, p: float = 0.5, alternative: str = "two.sided") -> float:

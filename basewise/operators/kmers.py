@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +15,58 @@ from ..functions.stats import combine, fisher_col
 
 def counts(df: DataFrame, k: int, once: bool = False, key: str = "id", sequence: str = "sequence") -> DataFrame:
     """(kmer, n): occurrences over all sequences, or (once) sequences that hold it; k-mers with other letters than ACGT are left out."""
-    kmers = windows(F.col(sequence), k)
-    rows = df.select(key, F.explode(F.array_distinct(kmers) if once else kmers).alias("kmer")).where(~F.col("kmer").rlike("[^ACGT]"))
-    return rows.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+    if once or k > MOST:
+        kmers = windows(F.col(sequence), k)
+        rows = df.select(key, F.explode(F.array_distinct(kmers) if once else kmers).alias("kmer")).where(~F.col("kmer").rlike("[^ACGT]"))
+        return rows.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for codes, n in _word_counts(batches, k):
+            letters = np.empty((len(codes), k), np.uint8)
+            for i in range(k):
+                letters[:, i] = ACGT[codes >> (2 * (k - 1 - i)) & 3]
+            words = pa.FixedSizeBinaryArray.from_buffers(pa.binary(k), len(codes), [None, pa.py_buffer(letters.tobytes())])
+            yield pa.RecordBatch.from_arrays([words.cast(pa.binary()).cast(pa.string()), pa.array(n)], names=["kmer", "n"])
+
+    return df.select(sequence).mapInArrow(run, "kmer string, n bigint").groupBy("kmer").agg(F.sum("n").alias("n"))
+
+
+#: Letters by code, codes by letter (4: another), the longest word that a code holds, and letters that are coded at a time.
+ACGT = np.frombuffer(b"ACGT", np.uint8)
+CODES = np.full(256, 4, np.uint8)
+CODES[ACGT] = range(4)
+MOST, PIECE = 31, 1 << 20
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Codes of words of k bases with their occurrences: once for all batches where a table of all words is small, else by piece."""
+    table = np.zeros(4**k, np.int64) if k <= 8 else None
+    for b in batches:
+        held: list[bytes] = []
+        texts = [t for t in b.column(0).cast(pa.binary()).to_pylist() if t]
+        size = 0
+        for i, t in enumerate(texts):
+            held.append(t)
+            size += len(t)
+            if size < PIECE and i + 1 < len(texts):
+                continue
+            c = CODES[np.frombuffer(b"\n".join(held), np.uint8)]  # no word goes over the line's end
+            held, size = [], 0
+            m = len(c) - k + 1
+            if m < 1:
+                continue
+            codes, good = np.zeros(m, np.int64), np.ones(m, bool)
+            for j in range(k):
+                codes = codes << 2 | c[j : j + m]
+                good &= c[j : j + m] < 4
+            codes = codes[good]
+            if table is None:
+                yield np.unique(codes, return_counts=True)
+            else:
+                table += np.bincount(codes, minlength=len(table))
+    if table is not None:
+        codes = np.flatnonzero(table)
+        yield codes, table[codes]
 
 
 def all_kmers(spark, k: int) -> DataFrame:

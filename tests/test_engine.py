@@ -168,3 +168,26 @@ def test_streamed_counts_stay_off_the_driver(spark, tmp_path):
     stream = spark.readStream.schema("sample string, id long, pos long, hit long").option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 1).load(str(tmp_path))
     rows = [tuple(r) for r in incremental.last_counts(stream, str(tmp_path / "c")).collect()]
     assert sorted(rows, key=str) == sorted([("s", 1, 2, 1, 3), ("s", 0, 3, 1, 1), ("s", 1, 3, 1, 1), ("s", 2, 3, 1, 1), (None, 1, 2, 3, 3)], key=str)
+
+
+def test_fisher_and_word_counts_of_large_tables(spark, monkeypatch):
+    """A test's cost goes with the deviation, not the counts; words are counted as they pass."""
+    from basewise.functions import stats
+    from basewise.operators import kmers
+
+    rng, seen, terms = __import__("random").Random(3), stats.log_hyper, []
+    monkeypatch.setattr(stats, "log_hyper", lambda k, *more: terms.append(len(k)) or seen(k, *more))
+    for _ in range(300):
+        a, b, c, d = (rng.choice([0, rng.randrange(5), rng.randrange(50), rng.randrange(20_000)]) for _ in range(4))
+        low, high = max(0, a - d), min(a + b, a + c)
+        p = [math.exp(x) for x in seen(list(range(low, high + 1)), a + b, c + d, a + c)]
+        assert stats.fisher(a, b, c, d) == pytest.approx(min(1.0, sum(p[a - low :] if a * d >= b * c else p[: a - low + 1])), rel=1e-10, abs=1e-300)
+    terms.clear()
+    assert 0.4 < stats.fisher(1_000_000, 49_000_000, 1_000_000, 49_000_000) < 0.6 and sum(terms) < 100_000
+    rows = [(1, "ACGTACGTNACGT"), (2, ""), (3, None), (4, "ACé" + "GT" * 9), (5, "AC"), (6, "GTAC" * 40)]
+    df = spark.createDataFrame(rows, "id long, sequence string")
+    for k in (1, 2, 4, 9, 31):
+        want = Counter(w for _, s in rows for i in range(len(s or "") - k + 1) if not re.search("[^ACGT]", w := s[i : i + k]))
+        assert {r["kmer"]: r["n"] for r in kmers.counts(df, k).collect()} == want
+    p = plan(kmers.counts(df, 4))
+    assert "Generate" not in p and "regexp_extract_all" not in p
