@@ -86,11 +86,16 @@ def fold_windows(lengths: DataFrame, size: int, step: int, ends: tuple[int, ...]
     return lengths.select("id", "length", F.explode(starts).alias("start")).select("id", "start", F.least(F.col("start") + size - 1, F.col("length") - 1).alias("end"))
 
 
-def pair_probability(probabilities: DataFrame, lookups: DataFrame) -> DataFrame:
-    """id, i, j and p (0 if absent) of every pair asked for, in either order of its bases. probabilities: id, i, j, p with i < j."""
+def pair_probability(probabilities: DataFrame, lookups: DataFrame, tasks: int | None = None) -> DataFrame:
+    """id, i, j and p (0 if absent) of every pair asked for, in either order of its bases. probabilities: id, i, j, p with i < j.
+
+    tasks: how many the join has (the session's number if none is given); that isn't lowered for small files, as pairs that are alike take few bytes there and many in memory."""
+    n = tasks or int(lookups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["id", "__a", "__b"]
     asked = lookups.select("id", "i", "j").withColumns({"__a": F.least("i", "j"), "__b": F.greatest("i", "j")})
     known = probabilities.select("id", F.col("i").alias("__a"), F.col("j").alias("__b"), "p")
-    return asked.join(known, ["id", "__a", "__b"], "left").select("id", "i", "j", F.coalesce("p", F.lit(0.0)).alias("p"))
+    joined = asked.repartition(n, *keys).join(known.repartition(n, *keys), keys, "left")
+    return joined.select("id", "i", "j", F.coalesce("p", F.lit(0.0)).alias("p"))
 
 
 def partners(probabilities: DataFrame) -> DataFrame:

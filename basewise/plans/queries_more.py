@@ -14,7 +14,7 @@ from ..operators import evaluate as E
 from ..operators import kmers as K
 from ..operators import pileup as P
 from ..sources import sinks
-from .views import SQL, intervals, rc_long, reads, sequences, table
+from .views import SQL, intervals, rc_long, reads, sequences, table, tasks_for
 
 QUERIES, ORACLES = {}, {}
 
@@ -93,9 +93,12 @@ def x11(spark, sf_dir):
 
 @query("q10_pair_lookup", f"{_PAIR}, p as (select id, unnest(generate_series(0, n - 1)) as i, n from d), k as (select id, i, 2 * n + 3 - i as j, 1 / (i + 2) as p from p) select d.id, cast(2 * d.n + 3 as int) as i, 0 as j, round(coalesce(k.p, 0), 6) as p from d left join k on k.id = d.id and k.i = 0 and k.j = 2 * d.n + 3")
 def q10(spark, sf_dir):
-    pairs = _hairpins(spark, sf_dir).select("id", F.length("structure").alias("n"), F.explode(R.list_pairs(F.col("structure"))).alias("x")).select("id", "n", "x.i", "x.j", (1 / (F.col("x.i") + 2)).alias("p"))
+    """In tasks of some 50,000 hairpins, up to 400,000 pairs."""
+    n = tasks_for(table(spark, sf_dir, "part"), 50_000)
+    hairpins = _hairpins(spark, sf_dir).repartition(n, "id")
+    pairs = hairpins.select("id", F.length("structure").alias("n"), F.explode(R.list_pairs(F.col("structure"))).alias("x")).select("id", "n", "x.i", "x.j", (1 / (F.col("x.i") + 2)).alias("p"))
     asked = _hairpins(spark, sf_dir).select("id", (F.length("structure") - 1).alias("i"), F.lit(0).alias("j"))
-    return E.pair_probability(pairs, asked).select("id", "i", "j", F.round("p", 6).alias("p"))
+    return E.pair_probability(pairs, asked, n).select("id", "i", "j", F.round("p", 6).alias("p"))
 
 
 @query("q10_partners", f"{_PAIR}, p as (select id, unnest(generate_series(0, n - 1)) as i, n from d), k as (select id, cast(i as int) as i, cast(2 * n + 3 - i as int) as j from p) select id, i as base, j as partner from k union all select id, j, i from k")

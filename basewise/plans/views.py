@@ -10,6 +10,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table that one task sorts or joins.
+TASK_ROWS = 250_000
+
+
+def tasks_for(table: DataFrame, rows: int = TASK_ROWS) -> int:
+    """So many tasks that each has about rows of the table's rows, which the files' footers tell, and no fewer than the machine's cores.
+
+    Without a given number Spark merges tasks by the bytes of their compressed files, and one task gets millions of rows that are alike."""
+    n = table.count()
+    return max(-(-n // rows), min(table.sparkSession.sparkContext.defaultParallelism, -(-n // 1000)), 1)
+
+
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     pos = F.expr("cast((dayofyear(l_shipdate) - 1) div 7 as int)")
     return table(spark, sf_dir, "lineitem").select(

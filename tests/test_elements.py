@@ -194,3 +194,14 @@ def test_chimera_workflow_makes_no_call_for_each_group(spark):
     df = spark.createDataFrame([(1, 1, 20, 50, 80)], "id long, start1 long, end1 long, start2 long, end2 long")
     p = chimeras.workflow(df)[1]._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInArrow" not in p and "MapInArrow" in p and "__bin" in p
+
+
+def test_pair_lookup_tasks_go_with_the_rows(spark, tmp_path):
+    """Alike pairs take few bytes in shuffle files; their join isn't merged into one task for that."""
+    from basewise.plans import registry
+
+    spark.range(130_000).selectExpr("id as p_partkey", "5 as p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    got = registry.QUERIES["q10_pair_lookup"](spark, str(tmp_path))
+    sizes = [r["n"] for r in got.groupBy(F.spark_partition_id().alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 130_000 and max(sizes) < 60_000
+    assert got.where("p <> 0.5 or i <> 17 or j <> 0").count() == 0
