@@ -49,9 +49,10 @@ def reactivity_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as reads: read_no, sample, id, start, end, muts (sorted positions)."""
+    lines = _cells(spark, sf_dir).select(F.col("l_orderkey").alias("read_no"), "l_linestatus", "id", "pos", "hit")
     return (
-        _cells(spark, sf_dir)
-        .groupBy(F.col("l_orderkey").alias("read_no"))
+        lines.repartition(tasks_for(table(spark, sf_dir, "lineitem")), "read_no")
+        .groupBy("read_no")
         .agg(
             F.min("l_linestatus").alias("sample"), F.min("id").alias("id"), F.min("pos").alias("start"), F.max("pos").alias("end"),
             F.array_sort(F.collect_set(F.when(F.col("hit") == 1, F.col("pos")))).alias("muts"),

@@ -14,9 +14,10 @@ from pathlib import Path
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from basewise.plans import pipelines, registry
-from basewise.plans.views import rc_long, sequences
+from basewise.plans.views import rc_long, reads, sequences
 from basewise.streaming import incremental
 
 SF = "/root/testdata/sf0.001"
@@ -191,3 +192,12 @@ def test_fisher_and_word_counts_of_large_tables(spark, monkeypatch):
         assert {r["kmer"]: r["n"] for r in kmers.counts(df, k).collect()} == want
     p = plan(kmers.counts(df, 4))
     assert "Generate" not in p and "regexp_extract_all" not in p
+
+
+def test_reads_are_put_together_in_tasks_that_go_with_the_lines(spark, tmp_path):
+    """Alike lines take few bytes in shuffle files; their sort isn't merged into one task for that."""
+    line = "id div 4 as l_orderkey, id % 9 as l_suppkey, cast(id % 4 as int) as l_linenumber, 1.0D as l_quantity, 'R' as l_returnflag, 'F' as l_linestatus, timestamp'1995-03-05 00:00:00' as l_shipdate"
+    spark.range(600_000).selectExpr(*line.split(", ")).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = reads(spark, str(tmp_path))
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 150_000 and max(sizes) < 62_500
